@@ -5,11 +5,12 @@ minima give the band keys; of each minimum only the low ``bits`` are kept, packe
 as bit planes, so that bit counts of two signatures estimate their similarity,
 corrected for chance collisions.  Pairs that pass are confirmed on full sets.
 
-Within a band's bucket no pairs are expanded blindly: members meet the bucket's
-smallest documents (one in the first round, then 64, 128, ...), which then leave
-the bucket, and a bucket whose members are all connected is finished.  So a group
-of thousands of near copies costs one pair a member, and no pair of a bucket is
-skipped unless its two documents are already connected.
+Within a band's bucket no pairs are expanded.  First every member meets the
+bucket's smallest document; so a group of thousands of near copies costs one pair
+a member, and is one component.  Only buckets that are not one component are then
+compared further, inside tasks over blocks of bounded size, which emit no more
+than a link a member.  No pair of a bucket is skipped unless its two documents
+are already connected.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ class NearDup:
     bands x rows: minima (a multiple of 32); at the threshold 85 % a link misses
     every band with probability (1 - 0.85**rows)**bands, 7e-9 here.  bits: kept of
     each minimum.  slack: of the estimate below the threshold, six standard
-    deviations here.  seed: of the permutations."""
+    deviations here.  seed: of the permutations.
+    block_items: shingles of a block that one task holds (twice)."""
 
     width: int = 3
     percent: int = 85
@@ -43,6 +45,7 @@ class NearDup:
     bits: int = 4
     slack: float = 0.19
     seed: int = 5
+    block_items: int = 4_000_000
 
     @property
     def minima(self) -> int:
@@ -115,6 +118,51 @@ def similarity(plan: NearDup, left: str, right: str) -> str:
     return f"((1 - ({differ}) / {float(plan.minima)}D) - {chance}D) / {1 - chance}D"
 
 
+def compare(plan: NearDup, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links within a bucket's block, or between two of its blocks, that join components.
+
+    Of the confirmed links only those that connect two components leave the task:
+    at most one a member.  The packed signatures rule most pairs out by bit counts;
+    the others are confirmed on full sets, one document against all at once.
+    """
+    frame = frame.sort_values("id", ignore_index=True)
+    ids, block = frame["id"].to_numpy(), frame["block"].to_numpy()
+    first, second = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+    sets = [np.asarray(x, np.int64) for x in frame["items"]]
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    offsets = np.concatenate([[0], np.cumsum(n)[:-1]])
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sig = np.array(frame["sig"].tolist(), np.int32).view(np.uint32).reshape(len(ids), plan.bits, -1)
+    _, group = np.unique(frame["c"].to_numpy(), return_inverse=True)
+    chance, least = 2.0**-plan.bits, plan.percent / 100 - plan.slack
+    mark, out = np.zeros(len(distinct), bool), []
+    for a in range(len(ids) - 1):
+        rest = np.arange(a + 1, len(ids))
+        good = group[rest] != group[a]
+        if first != second:
+            good &= block[rest] != block[a]
+        good &= np.minimum(n[rest], n[a]) * 100 >= np.maximum(n[rest], n[a]) * plan.percent
+        rest = rest[good]
+        if not len(rest):
+            continue
+        differ = np.bitwise_count(np.bitwise_or.reduce(sig[rest] ^ sig[a], axis=1)).sum(1)
+        rest = rest[((1 - differ / plan.minima) - chance) / (1 - chance) >= least]
+        if not len(rest):
+            continue
+        own = flat[offsets[a] : offsets[a] + n[a]]
+        mark[own] = True
+        if len(rest) > len(ids) // 8:
+            both = np.add.reduceat(mark[flat], offsets)[rest]
+        else:
+            both = np.array([mark[flat[offsets[b] : offsets[b] + n[b]]].sum() for b in rest])
+        mark[own] = False
+        for b in rest[100 * both >= plan.percent * (n[rest] + n[a] - both)]:
+            if group[a] != group[b]:
+                group[group == group[b]] = group[a]
+                out.append((ids[a], ids[b]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
 def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     """Connected components of links (a, b): node and the smallest node it reaches.
 
@@ -203,48 +251,50 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
         source.join(wanted, source["doc_id"] == wanted["id"], "left_semi").mapInPandas(sets, "id long, items array<long>"),
         "sets",
     )
-    sigs = reps.select("id", "n", "sig")
-    threshold = plan.percent / 100 - plan.slack
-    links: DataFrame | None = None
-    comp: DataFrame | None = None
-    round_, pivots = 0, 1
-    while True:
-        order = Window.partitionBy("key").orderBy("id")
-        first = open_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
-        lead = first.select(F.col("key").alias("k"), F.col("id").alias("a"), *(["c"] if comp is not None else []))
-        pairs = open_.join(lead, (F.col("key") == F.col("k")) & (F.col("a") < F.col("id")))
-        if comp is not None:
-            pairs = open_.withColumnRenamed("c", "d").join(lead, (F.col("key") == F.col("k")) & (F.col("a") < F.col("id")))
-            pairs = pairs.where("c <> d")
-        pairs = pairs.select("a", F.col("id").alias("b")).distinct()
-        left = sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-        right = sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        likely = pairs.join(left, "a").join(right, "b").where(
-            (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * plan.percent)
-            & (F.expr(similarity(plan, "sa", "sb")) >= threshold)
-        )
-        likely = work.save(likely.select("a", "b").distinct(), f"likely{round_}")
-        xa = table.select(F.col("id").alias("a"), F.col("items").alias("xa"))
-        xb = table.select(F.col("id").alias("b"), F.col("items").alias("xb"))
-        found = likely.join(xa, "a").join(xb, "b").withColumn("both", F.size(F.array_intersect("xa", "xb")))
-        found = found.where(100 * F.col("both") >= plan.percent * (F.size("xa") + F.size("xb") - F.col("both")))
-        found = work.save(found.select("a", "b"), f"links{round_}")
-        links = found if links is None else links.unionByName(found)
-        new = components(links, work, f"comp{round_}")
-        left_over = open_.select("key", "id").join(
-            first.select("key", "id"), ["key", "id"], "left_anti"
-        )
-        rest = left_over.join(new.withColumnRenamed("node", "id"), "id", "left").select(
-            "key", "id", F.coalesce("root", "id").alias("c")
-        )
-        split = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        round_ += 1
-        open_ = work.save(rest.join(split, "key"), f"open{round_}")
-        comp = new
-        pivots = 64 if pivots == 1 else pivots * 2
-        if open_.isEmpty():
-            break
-    work.drop("sets", "open0")
+    # first round: every member of a bucket meets the bucket's smallest document
+    lead = open_.groupBy("key").agg(F.min("id").alias("a"))
+    pairs = open_.join(lead, "key").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    likely = pairs.join(left, "a").join(right, "b").where(
+        (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * plan.percent)
+        & (F.expr(similarity(plan, "sa", "sb")) >= plan.percent / 100 - plan.slack)
+    )
+    likely = work.save(likely.select("a", "b").distinct(), "likely")
+    xa = table.select(F.col("id").alias("a"), F.col("items").alias("xa"))
+    xb = table.select(F.col("id").alias("b"), F.col("items").alias("xb"))
+    found = likely.join(xa, "a").join(xb, "b").withColumn("both", F.size(F.array_intersect("xa", "xb")))
+    found = found.where(100 * F.col("both") >= plan.percent * (F.size("xa") + F.size("xb") - F.col("both")))
+    found = work.save(found.select("a", "b"), "links")
+    comp = components(found, work, "first")
+    # second round: buckets that are not one component yet are compared within bounded blocks
+    rest = (
+        open_.join(lead, "key")
+        .where("a < id")
+        .join(comp.withColumnRenamed("node", "id"), "id", "left")
+        .select("key", "id", F.coalesce("root", "id").alias("c"))
+    )
+    split = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    sizes = reps.groupBy("id").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("key").orderBy("id")
+    blocked = (
+        rest.join(split, "key")
+        .join(sizes, "id")
+        .withColumn("block", F.floor((F.sum("n").over(order) - F.col("n")) / plan.block_items))
+        .withColumn("blocks", F.max("block").over(Window.partitionBy("key")) + 1)
+    )
+    units = work.save(
+        blocked.select("key", "id", "c", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("o")).select(
+            "key", "id", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")
+        ),
+        "units",
+    )
+    facts = table.join(reps.select("id", "sig"), "id")
+    more = units.join(facts, "id").groupBy("key", "i", "j").applyInPandas(functools.partial(compare, plan), "a long, b long")
+    more = work.save(more, "more")
+    known = found.unionByName(more)
+    comp = components(known, work, "all")
+    work.drop("sets", "open0", "units")
     roots = comp.select(F.col("node").alias("rep"), "root")
     named = classes.join(roots, "rep", "left").select(
         F.col("fp").alias("f"), F.coalesce("root", "rep").alias("root")
