@@ -28,7 +28,9 @@ class LangIdPlan:
     drawn by a hash of doc_id (a bounded sample; all rows if there are fewer).
     languages: largest number of languages, the most frequent.  words, grams:
     learned entries in all, the most frequent.  longest: characters of the longest
-    n-gram.  discount: log cost of each step down.  alpha: added to every count."""
+    n-gram.  discount: log cost of each step down.  unseen: share of each
+    language's mass spread over all entries, so that a word it lacks costs the same
+    in a large and a small language."""
 
     sample_rows: int = 4000
     languages: int = 1024
@@ -36,7 +38,7 @@ class LangIdPlan:
     grams: int = 200_000
     longest: int = 5
     discount: float = math.log(0.4)
-    alpha: float = 0.5
+    unseen: float = 0.01
 
 
 def tokens(text: str) -> list[str]:
@@ -61,8 +63,9 @@ class Model:
         self.floor = np.full(len(languages), math.log(1e-9))
         for table in self.tables:
             if table:
-                total = sum(table.values())
-                rows = np.log((np.array(list(table.values())) + plan.alpha) / (total + plan.alpha * (len(table) + 1)))
+                counts = np.array(list(table.values()), np.float64)
+                share = counts / np.maximum(counts.sum(0), 1)
+                rows = np.log((1 - plan.unseen) * share + plan.unseen / len(table))
                 for entry, row in zip(table, rows, strict=True):
                     table[entry] = row
         self.memo: dict[str, np.ndarray] = {}

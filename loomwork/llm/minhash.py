@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
         "units",
     )
     facts = table.join(reps.select("id", "sig"), "id")
-    more = units.join(facts, "id").groupBy("key", "i", "j").applyInPandas(functools.partial(compare, plan), "a long, b long")
+    more = units.join(facts, "id").groupBy("key", "i", "j").applyInPandas(lambda frame: compare(plan, frame), "a long, b long")
     more = work.save(more, "more")
     known = found.unionByName(more)
     comp = components(known, work, "all")
