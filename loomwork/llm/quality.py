@@ -178,10 +178,13 @@ def distribution_quality(docs: DataFrame, rules: QualityRules = QualityRules())
     an empty table gives an empty result.  Windows are compared by 64-bit
     hashes within one document.
 
-    The references are one row a language, written and read again, so that the
+    The decisions are a few numbers a document, written and read again: a filter on
+    them must not be pushed into the expressions they come from.  The references are
+    one row a language, written and read again, so that the
     join is a broadcast only if the file's size is below Spark's threshold.
     """
-    refs = references(docs, rules, Workspace(docs.sparkSession, "quality"))
+    work = Workspace(docs.sparkSession, "quality")
+    refs = references(docs, rules, work)
     df = _repeats(_with_counts(docs, rules), rules.window)
     df = df.withColumn(
         "n_symbols", F.col("n_chars") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))
@@ -238,7 +241,8 @@ def distribution_quality(docs: DataFrame, rules: QualityRules = QualityRules())
     near = F.coalesce(F.col("char_distance") <= rules.max_char_distance, F.lit(True)) & F.coalesce(
         F.col("word_distance") <= rules.max_word_distance, F.lit(True)
     )
-    return df.select(
+    out = df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & near).alias("kept"), "char_distance", "word_distance",
     )
+    return work.save(out, "decisions")
