@@ -77,15 +77,19 @@ def content_words(text: Column) -> Column:
 
 def most_repeats(text: Column, n: int = 3) -> Column:
     """How often the commonest run of n words occurs: the longest run of equal ones after sorting."""
-    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
     start = F.struct(F.lit("").alias("gram"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(s: Column, g: Column) -> Column:
         run = F.when(s["gram"] == g, s["run"] + 1).otherwise(1)
         return F.struct(g.alias("gram"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
-    return F.when(F.size(words) > n, F.aggregate(F.array_sort(grams), start, step, lambda s: s["best"])).otherwise(0)
+    def top(words: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) > n, F.aggregate(F.array_sort(grams), start, step, lambda s: s["best"])).otherwise(0)
+
+    # bound to a lambda's variable, the words are split once, not once for each run
+    words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
+    return F.transform(F.array(words), top)[0]
 
 
 def mentions(lower: Column, gold: Column, share: float = 0.4) -> Column:
@@ -113,17 +117,20 @@ def mentions(lower: Column, gold: Column, share: float = 0.4) -> Column:
 
 def gate_reason(explanation: Column, gold: Column, least: int = 200, most: int = 6000, repeats: int = 6) -> Column:
     """Why an explanation is rejected, by the first rule that fails; null if none does."""
-    t = F.regexp_replace(F.coalesce(explanation, F.lit("")), r"(?U)^\s+|\s+$", "")
-    lower = F.lower(t)
     has = lambda text, words: reduce(Column.__or__, (text.contains(w) for w in words))
-    top = most_repeats(t)
-    return (
-        F.when(F.length(t) < least, "too_short")
-        .when(F.length(t) > most, "too_long")
-        .when(t.rlike(r"^[\[{]"), "list_format_prefix")
-        .when(t.rlike(r"""',\s*'|",\s*\""""), "list_format_separator")
-        .when(has(lower, REFUSALS), "refusal")
-        .when(has(t, BAD), "bad_pattern")
-        .when(~mentions(lower, F.coalesce(gold, F.lit(""))), "no_gold_mention")
-        .when(top > repeats, F.concat(F.lit("repetitive(reps="), top.cast("string"), F.lit(")")))
-    )
+
+    def reason(t: Column) -> Column:
+        lower, top = F.lower(t), most_repeats(t)
+        return (
+            F.when(F.length(t) < least, "too_short")
+            .when(F.length(t) > most, "too_long")
+            .when(t.rlike(r"^[\[{]"), "list_format_prefix")
+            .when(t.rlike(r"""',\s*'|",\s*\""""), "list_format_separator")
+            .when(has(lower, REFUSALS), "refusal")
+            .when(has(t, BAD), "bad_pattern")
+            .when(~mentions(lower, F.coalesce(gold, F.lit(""))), "no_gold_mention")
+            .when(top > repeats, F.concat(F.lit("repetitive(reps="), top.cast("string"), F.lit(")")))
+        )
+
+    stripped = F.regexp_replace(F.coalesce(explanation, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.transform(F.array(stripped), reason)[0]
