@@ -207,6 +207,13 @@ def choice_label_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", answers.choice_label(F.col("t")).alias("letter"))
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 2 THEN 'X' WHEN 4 THEN substr('ABCD', (o_orderkey % 4 + 1)::INT, 1) END AS letter FROM orders")
+def choice_label_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letter of every order's response, of all six templates."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", _template().alias("t"))
+    return o.select("o_orderkey", answers.choice_label(F.col("t")).alias("letter"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n, round(sum(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE WHEN l_linestatus = 'O' THEN -0.25 ELSE -0.75 END
 - CASE WHEN l_quantity > 45 THEN 0.05 ELSE 0 END), 6) AS reward FROM lineitem GROUP BY 1, 2""")
 def rollout_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
