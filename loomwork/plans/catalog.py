@@ -247,6 +247,16 @@ def lang_subject_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").pivot("source", ["src0", "src1", "src2"]).count().fillna(0)
 
 
+@query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), l AS (SELECT DISTINCT lang FROM documents), s AS (SELECT DISTINCT source FROM documents)
+SELECT l.lang, s.source, coalesce(n, 0)::BIGINT AS n FROM l CROSS JOIN s LEFT JOIN c ON c.lang IS NOT DISTINCT FROM l.lang AND c.source IS NOT DISTINCT FROM s.source""")
+def lang_subject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of every language and source, nulls among them, 0 where a pair has none; one row a pair."""
+    d = load(spark, sf_dir, "documents").select("lang", "source")
+    cells = d.select("lang").distinct().crossJoin(d.select("source").distinct()).withColumn("n", F.lit(0).cast("long"))
+    counts = d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(cells).groupBy("lang", "source").agg(F.sum("n").alias("n"))
+
+
 @query("SELECT page_id FROM pages WHERE NOT regexp_matches(html, '(?i)!\\[[^\\]]*\\]\\(|<img|<image_\\d+>')")
 def image_marker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").where(~F.col("html").rlike(text.IMAGE_MARKER)).select("page_id")

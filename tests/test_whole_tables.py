@@ -1,6 +1,7 @@
 """Queries that take every row, against brute force on small tables."""
 
 import re
+from collections import Counter
 
 from loomwork.plans import catalog
 
@@ -26,3 +27,12 @@ def test_choice_label_of_every_template(spark, tmp_path):
     got = catalog.choice_label_extract_all(spark, str(tmp_path)).collect()
     assert len(got) == len(rows) and {r.o_orderkey: r.letter for r in got} == expected
     assert {expected[k] for k in expected if k % 6 == 2} == {"X"} and "C" in {expected[k] for k in expected if k % 6 == 0}
+
+
+def test_counts_of_every_language_and_source(spark, tmp_path):
+    rows = [("en", "src0"), ("en", "src0"), ("en", "src19"), ("de", "web"), (None, "src1"), ("fr", None), (None, None)]
+    spark.createDataFrame(rows, "lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.lang_subject_counts(spark, str(tmp_path)).collect()
+    langs, sources, n = {r[0] for r in rows}, {r[1] for r in rows}, Counter(rows)
+    assert len(got) == len(langs) * len(sources)
+    assert {(r.lang, r.source): r.n for r in got} == {(a, b): n[a, b] for a in langs for b in sources}
