@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.bpe import encode_documents
 from loomwork.llm.langid import UNKNOWN, fit, held_out, predict
-from loomwork.llm.minhash import near_duplicates
+from loomwork.llm.minhash import NearDup, near_duplicates
 from loomwork.llm.mixing import mix
 from loomwork.llm.quality import distribution_quality
 from loomwork.llm.queries import table, vocabulary
@@ -21,6 +21,9 @@ from loomwork.llm.text import n_words
 from loomwork.workspace import Workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Five words a shingle, similarity 0.8 or more.  At 80 % a link misses every band with
+#: probability (1 - 0.8**4)**40, 7e-10; the slack is six standard deviations there.
+NEAR = NearDup(width=5, percent=80, bands=40, rows=4, slack=0.21)
 
 
 def _kept(docs: DataFrame, decisions: DataFrame, keep: str) -> DataFrame:
@@ -41,8 +44,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each class of near copies."""
-    return _kept(docs, near_duplicates(docs), "kept")
+    """Keeps the smallest doc_id of each class of near copies, by five-word shingles at 80 %."""
+    return _kept(docs, near_duplicates(docs, NEAR), "kept")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

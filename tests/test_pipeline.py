@@ -1,0 +1,33 @@
+"""Stages of the corpus pipeline against brute force."""
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+
+
+def linked(a, b, width=5, percent=80):
+    x, y = ({tuple(w[j : j + width]) for j in range(len(w) - width + 1)} for w in (a.split(), b.split()))
+    return 100 * len(x & y) >= percent * len(x | y)
+
+
+def test_near_dedup_links_five_words_at_80_percent(spark):
+    texts = {}
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(100)]
+        texts[3 * g] = " ".join(base)
+        texts[3 * g + 1] = " ".join(base + [f"g{g}own{i}" for i in range(14 + g)])  # a block of its own
+        texts[3 * g + 2] = " ".join(f"g{g}x{i}" if i % 30 == 9 else w for i, w in enumerate(base))  # scattered edits
+    assert linked(texts[24], texts[25]) and not linked(texts[24], texts[25], 3, 85) and not linked(texts[0], texts[2])
+    root = {i: i for i in texts}
+    for _ in range(3):
+        for g in range(0, 36, 3):
+            for a in range(g, g + 3):
+                for b in range(g, g + 3):
+                    if linked(texts[a], texts[b]):
+                        root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table(spark, texts), "").collect()}
+    assert got == {i for i in root if root[i] == i} and 1 not in got and 34 in got
