@@ -121,6 +121,8 @@ def _half_terms(p: Column, q: Column) -> Column:
 def references(docs: DataFrame, rules: QualityRules, work: Workspace) -> DataFrame:
     """One row a language: character-class sums and a hash table of its common words.
 
+    A language without a common word has an empty table; its characters are still compared.
+
     The words are counted over all documents, summed in each task before the
     shuffle; the top words of a language are cut in each task before they meet.
     """
@@ -162,7 +164,13 @@ def references(docs: DataFrame, rules: QualityRules, work: Workspace) -> DataFra
             ).alias("slot_ranks"),
         )
     )
-    made = sums.join(table, "lang")
+    none = lambda of: F.array_repeat(F.expr(f"cast(array() as array<{of}>)"), _SLOTS)
+    made = sums.join(table, "lang", "left").select(
+        *sums.columns,
+        F.coalesce("top_n", F.expr("cast(array() as array<bigint>)")).alias("top_n"),
+        F.coalesce("slot_hashes", none("bigint")).alias("slot_hashes"),
+        F.coalesce("slot_ranks", none("int")).alias("slot_ranks"),
+    )
     return work.save(made.withColumnRenamed("lang", "r_lang").coalesce(1), "references")
 
 
