@@ -6,6 +6,7 @@ import os
 import uuid
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow.fs as pafs
 
 
@@ -36,3 +37,9 @@ def read(uri: str) -> bytes:
 def open_random(uri: str) -> BinaryIO:
     fs, path = _resolve(uri)
     return fs.open_input_file(path)
+
+
+def mapped(uri: str) -> np.ndarray:
+    """A file's bytes: mapped where the folder is a mounted one, so that workers share its pages, else read."""
+    fs, path = _resolve(uri)
+    return np.memmap(path, np.uint8, "r") if isinstance(fs, pafs.LocalFileSystem) else np.frombuffer(read(uri), np.uint8)

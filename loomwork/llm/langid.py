@@ -3,47 +3,67 @@
 A word that was learned scores by its log frequency in each language.  A word
 that was not falls back to the longest of its character n-grams that were
 learned, each step down costing a fixed discount.
+
+The model is one file in the shared folder, written by a task and mapped by the
+workers, so those of one machine share its pages: sorted 64-bit keys of words and
+n-grams, and for each key the languages that have it with what its log frequency
+there exceeds the log of unseen mass.  What all languages have in common (unseen
+mass, discounts) changes neither the best language nor its share, and is left out.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from loomwork.llm import files
+from loomwork.workspace import Workspace
 
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
+_ASCII_LETTERS = re.compile("[a-z]+")
+_ALNUM = re.compile(r"[^\W\d_]+")
+#: Bytes of words and of scores that a worker keeps at hand, about.
+_MEMO_BYTES = 32 << 20
+_ALIGN = 64
 
 
 @dataclass(frozen=True)
 class LangIdPlan:
     """sample_rows: about so many labelled rows of each language are learned from,
-    drawn by a hash of doc_id (a bounded sample; all rows if there are fewer).
-    languages: largest number of languages, the most frequent.  words, grams:
-    learned entries in all, the most frequent.  longest: characters of the longest
-    n-gram.  discount: log cost of each step down.  unseen: share of each
-    language's mass spread over all entries, so that a word it lacks costs the same
-    in a large and a small language."""
+    drawn by a hash of doc_id and text (a bounded sample; all rows if there are
+    fewer).  Every language, word and n-gram of the sample is learned.  longest:
+    characters of the longest n-gram.  unseen: share of each language's mass spread
+    over all entries, so that a word it lacks costs the same in a large and a small
+    language."""
 
     sample_rows: int = 4000
-    languages: int = 1024
-    words: int = 200_000
-    grams: int = 200_000
     longest: int = 5
-    discount: float = math.log(0.4)
     unseen: float = 0.01
 
 
 def tokens(text: str) -> list[str]:
     """Lower-cased runs of letters."""
-    return _LETTERS.findall(text.lower())
+    text = text.lower()
+    if text.isascii():
+        return _ASCII_LETTERS.findall(text)
+    found = _ALNUM.findall(text)  # letters, and numbers that are no digits
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else _LETTERS.findall(run))]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -51,67 +71,141 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def entry_keys(entries: list[str], n: int) -> np.ndarray:
+    """64-bit keys of words (n = 0) or n-grams; the length is the hash's seed."""
+    key = xxhash.xxh3_64_intdigest
+    return np.fromiter((key(e, n) for e in entries), np.uint64, len(entries)).view(np.int64)
+
+
+def pack(languages: list[str], keys: np.ndarray, kinds: np.ndarray, langs: np.ndarray, counts: np.ndarray, plan: LangIdPlan) -> bytes:
+    """A model's file, of parallel rows sorted by key; a kind is an entry's length (0: a word)."""
+    width = len(languages)
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, np.int64)
+    entries = np.bincount(kinds[first], minlength=plan.longest + 1)
+    totals = np.bincount(kinds * width + langs, weights=counts, minlength=(plan.longest + 1) * width)
+    spread = plan.unseen / np.maximum(entries, 1)[kinds]
+    share = counts / totals[kinds * width + langs]
+    parts = [keys[first], np.append(first, len(keys)), langs.astype(np.int32), np.log1p((1 - plan.unseen) * share / spread).astype(np.float32)]
+    head = json.dumps({"languages": languages, "longest": plan.longest, "sizes": [len(p) for p in parts]}).encode()
+    out = [len(head).to_bytes(8, "little") + head]
+    for part in parts:
+        out.append(b"\0" * (-sum(map(len, out)) % _ALIGN))
+        out.append(part.astype(part.dtype.newbyteorder("<")).tobytes())
+    return b"".join(out)
+
+
 class Model:
-    """Log frequencies of words and n-grams, one number a language.  ``counts`` maps
-    (length, entry) to a language's counts; length 0 is a whole word."""
-
-    def __init__(self, languages: list[str], counts: dict[tuple[int, str], list[float]], plan: LangIdPlan):
-        self.languages, self.plan = languages, plan
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(plan.longest + 1)]
-        for (n, entry), row in counts.items():
-            self.tables[n][entry] = np.asarray(row, np.float32)
-        self.floor = np.full(len(languages), math.log(1e-9))
-        for table in self.tables:
-            if table:
-                counts = np.array(list(table.values()), np.float64)
-                share = counts / np.maximum(counts.sum(0), 1)
-                rows = np.log((1 - plan.unseen) * share + plan.unseen / len(table))
-                for entry, row in zip(table, rows, strict=True):
-                    table[entry] = row
-        self.memo: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """Log score of one word in each language."""
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        cost = 0.0
-        for n in range(min(self.plan.longest, len(word) + 2), 0, -1):
-            cost += self.plan.discount
-            table = self.tables[n]
-            if found := [table[g] for g in grams_of(word, n) if g in table]:
-                return np.mean(found, axis=0) + cost
-        return self.floor + cost
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    """A mapped model file with the scores of recent words, one for each worker."""
+
+    def __init__(self, data: np.ndarray):
+        size = int.from_bytes(data[:8].tobytes(), "little")
+        head = json.loads(data[8 : 8 + size].tobytes())
+        self.languages, self.longest = head["languages"], head["longest"]
+        at, parts = 8 + size, []
+        for n, kind in zip(head["sizes"], ("<i8", "<i8", "<i4", "<f4"), strict=True):
+            at += -at % _ALIGN
+            end = at + n * np.dtype(kind).itemsize
+            parts.append(data[at:end].view(kind))
+            at = end
+        self.keys, self.starts, self.langs, self.values = parts
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.bytes = 0
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.l, self.v = np.zeros(0, np.int32), np.zeros(0, np.float32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry numbers of the keys, -1 for those not learned."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def _expand(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the entries' languages and values, and how many each has."""
+        n = self.starts[entries + 1] - self.starts[entries]
+        return np.repeat(self.starts[entries] - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+    def learn(self, words: list[str]) -> None:
+        """Keep the scores of new words: of the word itself, else the mean of its longest known n-grams."""
+        owner, entry, weight = [], [], []
+        found = self.find(entry_keys(words, 0))
+        known = np.flatnonzero(found >= 0)
+        owner.append(known), entry.append(found[known]), weight.append(np.ones(len(known)))
+        left = np.flatnonzero(found < 0)
+        for n in range(self.longest, 0, -1):
+            if not len(left):
+                break
+            split = [grams_of(words[i], n) for i in left.tolist()]
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            found = self.find(entry_keys([g for own in split for g in own], n))
+            who = np.repeat(np.arange(len(left)), sizes)[found >= 0]
+            hits = np.bincount(who, minlength=len(left))
+            owner.append(left[who]), entry.append(found[found >= 0]), weight.append(1 / hits[who])
+            left = left[hits == 0]
+        owner, entry, weight = map(np.concatenate, (owner, entry, weight))
+        order = np.argsort(owner, kind="stable")
+        owner, entry, weight = owner[order], entry[order], weight[order]
+        places, n = self._expand(entry)
+        size = np.bincount(owner, weights=n, minlength=len(words)).astype(np.int64)
+        self.slot.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.at = np.concatenate([self.at, len(self.l) + np.cumsum(size) - size])
+        self.n = np.concatenate([self.n, size])
+        self.l = np.concatenate([self.l, self.langs[places]])
+        self.v = np.concatenate([self.v, self.values[places] * np.repeat(weight, n).astype(np.float32)])
+        self.bytes += sum(map(len, words)) + 120 * len(words) + 8 * len(places)
+
+    def score(self, words: Counter[str]) -> tuple[str, float]:
         """Language and score: the share of the best language's mean likelihood of a word."""
-        words = Counter(tokens(text)) if text else None
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        memo = self.memo
-        if len(memo) > 500_000:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = self.word(w)
-        mean = np.fromiter(words.values(), np.float64, len(words)) @ np.array([memo[w] for w in words]) / words.total()
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        n = self.n[slots]
+        places = np.repeat(self.at[slots] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        counts = np.repeat(np.fromiter(words.values(), np.float64, len(words)), n)
+        mean = np.bincount(self.l[places], weights=self.v[places] * counts, minlength=len(self.languages)) / words.total()
         share = np.exp(mean - mean.max())
         best = int(np.argmax(share))  # ties: the first, languages are sorted
         return self.languages[best], float(share[best] / share.sum())
 
+    def texts(self, texts: list[str | None], group: int = 64) -> Iterator[tuple[str, float]]:
+        """The language and score of every whole text."""
+        for at in range(0, len(texts), group):
+            counted = [Counter(tokens(t)) if isinstance(t, str) else Counter() for t in texts[at : at + group]]
+            if self.bytes > _MEMO_BYTES:
+                self.clear()
+            if new := [w for w in set().union(*counted) if w not in self.slot]:
+                self.learn(new)
+            yield from map(self.score, counted)
+
+
+_open: dict[str, Model] = {}
 
-def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> Model:
-    """Learn from doc_id, text and lang of the rows where both text and lang are not null."""
-    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    seen = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(plan.languages).collect()
-    languages = sorted(r.lang for r in seen)
-    if not languages:
-        return Model([], {}, plan)
-    few = {r.lang: min(1.0, plan.sample_rows / r["count"]) for r in seen}
-    share = F.element_at(F.create_map(*(F.lit(x) for kv in few.items() for x in kv)), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
-    sample = labelled.where(F.col("lang").isin(languages) & (draw < share))
+
+def open_model(uri: str) -> Model:
+    """The model of a file, kept for the next task of this worker."""
+    if uri not in _open:
+        _open.clear()
+        _open[uri] = Model(files.mapped(uri))
+    return _open[uri]
+
+
+def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> str:
+    """Learn from doc_id, text and lang of the rows where both text and lang are not null.
+
+    Returns the model file's URI.  The driver sees one row a language; words and
+    n-grams are counted in tasks, and one task, whose rows the bounded sample
+    bounds, writes the file.
+    """
+    work = Workspace(docs.sparkSession, "langid")
+    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "lang")
+    seen = work.save(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    languages = sorted(r.lang for r in seen.collect())
     at = {lang: i for i, lang in enumerate(languages)}
+    draw = F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
+    sample = labelled.join(F.broadcast(seen) if len(languages) <= 10_000 else seen, "lang").where(draw < plan.sample_rows / F.col("rows"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -123,46 +217,53 @@ def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> Model:
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found: Counter[tuple[int, int, str]] = Counter()
-            for lang, word, n in zip(frame["lang"], frame["word"], frame["n"], strict=True):
-                for k in range(1, plan.longest + 1):
-                    for g in grams_of(word, k):
-                        found[lang, k, g] += n
-            yield pd.DataFrame(
-                [(*key, n) for key, n in found.items()], columns=["lang", "k", "entry", "n"]
-            )
-
-    words = sample.mapInPandas(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    grams = words.mapInPandas(split, "lang int, k int, entry string, n long").groupBy("lang", "k", "entry").agg(F.sum("n").alias("n"))
-    counts: dict[tuple[int, str], list[float]] = {}
-    for rows, most in ((words.select("lang", F.lit(0).alias("k"), F.col("word").alias("entry"), "n"), plan.words), (grams, plan.grams)):
-        pairs = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-        top = rows.groupBy("k", "entry").agg(F.sum("n").alias("n"), pairs).where("n > 1 OR k > 0").orderBy(F.desc("n"), "k", "entry").limit(most)
-        for k, entry, by in top.select("k", "entry", "by").toLocalIterator():
-            counts[k, entry] = [by.get(i, 0) for i in range(len(languages))]
-    return Model(languages, counts, plan)
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of every whole text; only text is looked at.
+            for lang, own in frame.groupby("lang"):
+                words = own["word"].tolist()
+                for k in range(plan.longest + 1):
+                    found: Counter[str] = Counter()
+                    for word, n in zip(words, own["n"], strict=True):
+                        for g in grams_of(word, k) if k else (word,):
+                            found[g] += n
+                    yield pd.DataFrame({"key": entry_keys(list(found), k), "k": k, "lang": lang, "n": list(found.values())})
+
+    folder = work.at("model")
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [[c.to_numpy(np.int64) for _, c in frame.items()] for frame in frames]
+        keys, kinds, langs, n = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+        yield pd.DataFrame({"uri": [files.put(folder, "model", pack(languages, keys, kinds, langs, n, plan))]})
+
+    words = sample.select("text", "lang").mapInPandas(count, "lang int, word string, n long")
+    words = work.save(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    entries = words.mapInPandas(split, "key long, k int, lang int, n long").groupBy("key", "k", "lang").agg(F.sum("n").alias("n"))
+    entries = work.save(entries, "entries")
+    made = entries.select("key", "k", "lang", "n").repartition(1).sortWithinPartitions("key", "lang").mapInPandas(write, "uri string")
+    uri = work.save(made, "manifest").first()["uri"]
+    work.drop("words", "entries")
+    return uri
+
+
+def predict(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry``, lang_pred and score of every whole text; only text is looked at.
 
     One row per input row.  A null text, or one without a letter, is ``und`` with
     score 0; so is every text if nothing could be learned.  Ties go to the
-    language that sorts first.  An empty table gives an empty result.
+    language that sorts first.  Repeated rows and null ids are rows like any other.
+    An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for frame in frames:
-            rows = [model(t) for t in frame["text"]]
-            yield pd.DataFrame(
-                {"doc_id": frame["doc_id"].array, "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows]}
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, lang_pred string, score double"
-    )
+    hidden = max(carry, key=len) + "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = open_model(model)
+        for batch in batches:
+            found = list(own.texts(batch[hidden].to_pylist()))
+            columns = [*(batch[c] for c in carry), pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*carry, "lang_pred", "score"])
+
+    held = docs.select(*(F.col(f"`{c}`") for c in carry), F.col("text").alias(hidden))
+    schema = StructType([*(held.schema[c] for c in carry), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return held.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

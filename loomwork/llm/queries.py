@@ -49,7 +49,7 @@ def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = held_out(F.col("doc_id"))
-    pred = predict(docs, fit(docs.where(~held)))
+    pred = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs.where(~held)))
     return pred.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
