@@ -1,85 +1,153 @@
 """Token ids in binary shards with a shared Zstandard dictionary.
 
-File format of a shard (little-endian): magic ``LWTOK1\\0\\0``; 32 bytes SHA-256
+File format of a shard (little-endian): magic ``LWTOK2\\0\\0``; 32 bytes SHA-256
 of the dictionary; then one Zstandard frame for each document, holding its ids
 as unsigned 16- or 32-bit integers; then the index, one record of
-``<q doc_id, Q start, I n_tokens, Q offset, I length>`` a document; then a footer
-``<Q index offset, Q documents, Q tokens, I id width>`` and the magic again.
+``<q doc_id, ? null, Q start, I n_tokens, Q offset, I length>`` a document; then a
+footer ``<Q index offset, Q documents, Q tokens, I id width>`` and the magic again.
 ``start`` counts the ids before the document within the shard; the manifest has
 each shard's ids before it.  One document is read with the index, one seek and
-one frame.  A null doc_id is stored as the smallest 64-bit integer, and ordered first.
+one frame.  Documents with a null doc_id come first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm import files
+from loomwork.llm.zdict import build_dictionary, load_dictionary
 from loomwork.workspace import Workspace
 
-MAGIC = b"LWTOK1\0\0"
-INDEX = struct.Struct("<qQIQI")
+MAGIC = b"LWTOK2\0\0"
+INDEX = struct.Struct("<q?QIQI")
 FOOTER = struct.Struct("<QQQI8s")
-NULL_ID = -(2**63)
-#: Distinct pieces of text whose ids a worker keeps at hand.
-_MEMO = 600_000
+#: Bytes of text pieces and words whose ids a worker keeps at hand, about.
+_MEMO_BYTES = 96 << 20
+_ENTRY = 200
+#: Longer pieces are not kept.
+_LONG = 64
 
-#: Encodes texts as lists of ids; built on the worker from the tokenizer file's bytes.
+#: Encodes texts as little-endian ids; built on the worker from the tokenizer file's bytes.
 Encoder = Callable[[list[str]], list[bytes]]
 
+# The normalizer and the split of the tokenizer file whose texts can be cut into words.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same split of lower-cased text of plain characters: printable ASCII and the
+#: letters up to U+00FF, which are composed and have one lower-case character each.
+_SPLIT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")  # without <, which begins added tokens
 
-class WordEncoder:
-    """Encodes with the tokenizers library, each distinct piece between white space once.
 
-    The tokenizer drops white space before merging, and no token crosses it, so a
-    text's ids are those of its pieces one after another.  Strings of special
-    tokens in a text are ordinary text.
+class WordEncoder:
+    """Encodes with the tokenizers library, every distinct word once.
+
+    A tokenizer file that drops white space, lower-cases and splits words as
+    ``_SPLIT`` does lets texts be cut there: no token crosses it, so a text's ids are
+    those of its pieces one after another.  A piece of plain characters is cut into
+    words by the same rule, and the library's model is asked for each word; any other
+    piece goes to the library whole, and so does every text if the file is of another
+    form.
     """
 
     _gap = re.compile(r"[ \t\n\r]+")
+    _odd = re.compile("[\x1c-\x1f]")  # white space for str.split, but not for the library
 
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, width: int):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(file.decode())
-        self.library.encode_special_tokens = True
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
+        self.library, self.kind = Tokenizer.from_str(file.decode()), f"<u{width}"
         self.library.no_padding()
         self.library.no_truncation()
-        self.memo: dict[str, bytes] = {"": b""}
+        self.ask_word = self.library.model.tokenize
+        form = json.loads(file)
+        steps = (form.get("normalizer") or {}).get("normalizers", [])
+        split = ((form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.cuts = (
+            [s.get("type") for s in steps] == _NORMALIZERS
+            and split.get("pattern") == {"Regex": _SPLIT}
+            and all(t["content"].startswith("<") and not re.search(r"\s", t["content"]) for t in form["added_tokens"])
+            and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in form["added_tokens"])
+        )
+        # how the file writes bytes as characters, from the library itself
+        letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ" if self.cuts else ""
+        self.as_bytes = {ord(c): self.library.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters if not c.isascii()}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        got = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(g.ids, self.kind).tobytes() for g in got]
+
+    def _word(self, word: str) -> bytes:
+        if (known := self.words.get(word)) is not None:
+            return known
+        tokens = self.ask_word(word if word.isascii() else word.translate(self.as_bytes))
+        ids = np.array([t.id for t in tokens], self.kind).tobytes()
+        if len(word) <= _LONG:
+            self.words[word] = ids
+            self.bytes += _ENTRY + 3 * len(word)
+        return ids
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces."""
+        plain, word = _PLAIN.fullmatch, self._word
+        out, whole = {}, []
+        for p in new:
+            if plain(p):
+                own = _SPLIT_PLAIN.findall(p.lower())
+                out[p] = word(own[0]) if len(own) == 1 else b"".join(map(word, own))
+            else:
+                whole.append(p)
+        for at in range(0, len(whole), 1024):
+            some = whole[at : at + 1024]
+            out.update(zip(some, self._whole(some), strict=True))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self._gap.split(t) for t in texts]
-        memo = self.memo
-        new = [p for p in set().union(*split) if p not in memo]
-        if len(memo) + len(new) > _MEMO:
-            memo.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, got in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
-                memo[piece] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, pieces)) for pieces in split]
-
-
-def train_dictionary(arrays: list[bytes], size: int) -> bytes:
-    """A Zstandard dictionary of serialized id arrays; empty if there is too little to learn from."""
-    arrays = [a for a in arrays if len(a) >= 8]
-    if len(arrays) < 16 or sum(map(len, arrays)) < 8 * size:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, arrays, k=256, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        if not self.cuts:
+            return [i for at in range(0, len(texts), 64) for i in self._whole(texts[at : at + 64])]
+        out = []
+        for at in range(0, len(texts), 128):
+            split = [self._gap.split(t) if self._odd.search(t) else t.split() for t in texts[at : at + 128]]
+            if self.bytes > _MEMO_BYTES:
+                self.words, self.pieces, self.bytes = {}, {}, 0
+            known = self.pieces
+            new = [p for p in set().union(*split) if p not in known]
+            long = [p for p in new if len(p) > _LONG]
+            known.update(self._learn(new))
+            self.bytes += sum(map(len, new)) * 3 + _ENTRY * len(new)
+            out += [b"".join(map(known.__getitem__, own)) for own in split]
+            for p in long:
+                del known[p]
+        return out
+
+
+_encoders: dict[tuple, WordEncoder] = {}
+
+
+def worker_encoder(file: bytes, width: int) -> WordEncoder:
+    """This worker's encoder, kept for its next task."""
+    key = (hashlib.sha256(file).digest(), width)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(file, width)
+    return _encoders[key]
 
 
 class ShardWriter:
@@ -87,13 +155,12 @@ class ShardWriter:
 
     def __init__(self, dictionary: bytes, width: int, level: int):
         self.sha = hashlib.sha256(dictionary).digest()
-        loaded = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        self.zstd = zstandard.ZstdCompressor(level=level, dict_data=loaded)
+        self.zstd = zstandard.ZstdCompressor(level=level, dict_data=load_dictionary(dictionary))
         self.width, self.body, self.index, self.at, self.tokens = width, [MAGIC, self.sha], [], len(MAGIC) + 32, 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         frame, n = self.zstd.compress(ids), len(ids) // self.width
-        self.index.append(INDEX.pack(doc_id, self.tokens, n, self.at, len(frame)))
+        self.index.append(INDEX.pack(doc_id or 0, doc_id is None, self.tokens, n, self.at, len(frame)))
         self.body.append(frame)
         self.at += len(frame)
         self.tokens += n
@@ -118,117 +185,109 @@ class ShardReader:
             raise ValueError(f"{uri} was written with another dictionary")
         self.file.seek(at)
         self.index = self.file.read(self.n * INDEX.size)
-        loaded = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        self.zstd = zstandard.ZstdDecompressor(dict_data=loaded)
+        self.zstd = zstandard.ZstdDecompressor(dict_data=load_dictionary(dictionary))
 
-    def __getitem__(self, i: int) -> tuple[int, int, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[int | None, int, np.ndarray]:
         """doc_id, start and ids of the i-th document."""
-        doc_id, start, _, offset, length = INDEX.unpack_from(self.index, i * INDEX.size)
+        doc_id, null, start, _, offset, length = INDEX.unpack_from(self.index, i * INDEX.size)
         self.file.seek(offset)
         ids = np.frombuffer(self.zstd.decompress(self.file.read(length)), f"<u{self.width}")
-        return doc_id, start, ids
+        return None if null else doc_id, start, ids
 
 
 def write_token_shards(
     docs: DataFrame,
-    make_encoder: Callable[[], Encoder],
+    make_encoder: Callable[[int], Encoder],
     end_id: int,
     max_id: int,
     work: Workspace,
-    shard_rows: int = 8192,
+    shard_bytes: int = 8 << 20,
     dictionary_bytes: int = 32 << 10,
     sample_rows: int = 2000,
-    sample_text_bytes: int = 16 << 10,
+    sample_bytes: int = 16 << 10,
     level: int = 3,
+    most_parts: int = 20_000,
 ) -> tuple[DataFrame, bytes]:
     """Encode whole texts and write their ids, ascending by doc_id, in token shards.
 
-    Input: doc_id long and text (null: empty).  Output: the manifest (uri, part,
-    base: ids before the shard) and the shared dictionary.  The dictionary learns
-    from about ``sample_rows`` texts of at most ``sample_text_bytes``, drawn by a
-    hash of doc_id: it serves short documents, and the bound keeps it off the
-    driver's memory; too few of them, and the files have none.
+    Input: doc_id long and text (null: empty).  Output: the manifest (uri, tokens,
+    docs, base: ids before the shard) and the shared dictionary.  The dictionary
+    learns from ``sample_rows`` documents drawn by a hash, a window of at most
+    ``sample_bytes`` of each, at a place drawn likewise: a bounded sample.
 
-    Parts are ranges of doc_id that hold about ``shard_rows`` rows, cut at
-    quantiles of the id column alone.  Rows that repeat one id share a part.
+    Texts are encoded once; the written ids are dealt by ranges of doc_id, a repeated
+    id being split by a number given when they were written, and each range is
+    streamed into shards of about ``shard_bytes``.
     """
     spark = docs.sparkSession
     width = 2 if max_id < 1 << 16 else 4
     tail = end_id.to_bytes(width, "little")
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    n = docs.count()
-    parts = max(1, -(-n // shard_rows))
-    cuts = []
-    if parts > 1:
-        q = [i / parts for i in range(1, parts)]
-        cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", q, 100 * parts)).first()[0]))
-
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = make_encoder()
-        limits = np.array(cuts, np.int64)
-        for frame in frames:
-            ids = encoder(frame["text"].tolist())
-            if width == 2:
-                ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
-            part = np.searchsorted(limits, frame["doc_id"].to_numpy(), side="right")
-            yield pd.DataFrame({"part": part, "doc_id": frame["doc_id"], "ids": [i + tail for i in ids]})
-
-    schema = "part int, doc_id long, ids binary"
-    short = rows.where(F.octet_length("text") <= sample_text_bytes)
-    if n > sample_rows:
-        short = short.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < sample_rows)
-    sample = sorted((r.doc_id, bytes(r.ids)) for r in short.mapInPandas(encode, schema).collect())
-    dictionary = train_dictionary([i for _, i in sample], dictionary_bytes)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = make_encoder(width)
+        for batch in batches:
+            ids = [i + tail for i in encoder(batch["text"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    coded = rows.mapInArrow(encode, "doc_id long, ids binary")
+    coded = work.save(coded.select("*", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("u")), "ids")
+    total = coded.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]
+    windows = F.greatest(F.floor((F.length("ids") - sample_bytes) / width) + 1, F.lit(1))
+    place = (F.pmod("h", windows) * width + 1).cast("int")
+    drawn = coded.select(F.xxhash64("doc_id", "h").alias("draw"), "u", F.substring("ids", place, F.lit(sample_bytes)).alias("part"))
+    sample = [bytes(r.part) for r in drawn.orderBy("draw", "u").limit(sample_rows).collect()]
+    dictionary = build_dictionary(sample, dictionary_bytes, 256)
     folder = work.at("shards")
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        writer, own = None, None
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, writer, seq = TaskContext.get().partitionId(), None, 0
 
-        def close() -> pd.DataFrame:
-            data = writer.data()
-            uri = files.put(folder, f"part-{own:07d}", data)
-            return pd.DataFrame({"uri": [uri], "part": [own], "tokens": [writer.tokens], "docs": [len(writer.index)]})
+        def close() -> pa.RecordBatch:
+            uri = files.put(folder, f"part-{own:07d}-{seq:05d}", writer.data())
+            return pa.RecordBatch.from_pydict({"uri": [uri], "part": [own], "seq": [seq], "tokens": [writer.tokens], "docs": [len(writer.index)]})
 
-        for frame in frames:
-            for part, doc_id, ids in zip(frame["part"], frame["doc_id"], frame["ids"], strict=True):
-                if part != own:
-                    if writer:
-                        yield close()
-                    writer, own = ShardWriter(dictionary, width, level), part
-                writer.add(doc_id, ids)
+        for batch in batches:
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), batch["ids"], strict=True):
+                writer = writer or ShardWriter(dictionary, width, level)
+                writer.add(doc_id, ids.as_py())
+                if writer.tokens * width >= shard_bytes:
+                    yield close()
+                    writer, seq = None, seq + 1
         if writer:
             yield close()
 
-    manifest = work.save(
-        rows.mapInPandas(encode, schema)
-        .repartition(parts, "part")
-        .sortWithinPartitions("part", "doc_id", F.xxhash64("ids"))
-        .mapInPandas(write, "uri string, part int, tokens long, docs long"),
-        "manifest",
-    )
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0))), dictionary
+    parts = min(most_parts, max(1, -(-total // shard_bytes)))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("u")]
+    dealt = coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    manifest = work.save(dealt.mapInArrow(write, "uri string, part long, seq long, tokens long, docs long"), "manifest")
+    work.drop("ids")
+    sums, before, starts = sorted(map(tuple, manifest.groupBy("part").agg(F.sum("tokens")).collect())), 0, []
+    for part, tokens in sums:  # a row a range, ``most_parts`` at most
+        starts.append((part, before))
+        before += tokens
+    base = spark.createDataFrame(starts, "part long, start long")
+    prior = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = manifest.withColumn("within", F.coalesce(F.sum("tokens").over(prior), F.lit(0)))
+    return within.join(base, "part").select("uri", "tokens", "docs", (F.col("start") + F.col("within")).alias("base")), dictionary
 
 
 def read_token_shards(manifest: DataFrame, dictionary: bytes) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files themselves."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for uri, base in zip(frame["uri"], frame["base"], strict=True):
+            for uri, base in zip(frame["uri"].to_pylist(), frame["base"].to_pylist(), strict=True):
                 shard = ShardReader(uri, dictionary)
                 rows = []
                 for i in range(shard.n):
                     doc_id, start, ids = shard[i]
-                    crc = zlib.crc32(ids.astype("<u4").tobytes())
-                    rows.append((None if doc_id == NULL_ID else doc_id, base + start, len(ids), crc))
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    rows.append((doc_id, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files_n = manifest.count()
-    spread = manifest.select("uri", "base").repartition(max(1, min(files_n, 10_000)))
-    return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    spread = manifest.select("uri", "base").repartition(max(1, min(manifest.count(), 10_000)))
+    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def word_token_file(docs: DataFrame, tokenizer_file: bytes, end_id: int = 1) -> DataFrame:
@@ -237,7 +296,8 @@ def word_token_file(docs: DataFrame, tokenizer_file: bytes, end_id: int = 1) ->
     Input: doc_id, text; other columns are ignored.  Output, one row per input row:
     doc_id, start, n_tokens (with the end id), ids_crc32.  A null text is empty:
     only the end id.  A null doc_id comes first; rows that repeat an id follow each
-    other.  An empty table gives an empty result.
+    other, by a hash of their ids.  Strings of the file's added tokens inside a text
+    get their ids, as the library gives them.  An empty table gives an empty result.
     """
     from tokenizers import Tokenizer
 
@@ -247,5 +307,5 @@ def word_token_file(docs: DataFrame, tokenizer_file: bytes, end_id: int = 1) ->
     size = Tokenizer.from_str(tokenizer_file.decode()).get_vocab_size()
     work = Workspace(docs.sparkSession, "tokens")
     return read_token_shards(
-        *write_token_shards(docs, lambda: WordEncoder(shared.value), end_id, max(size, end_id), work)
+        *write_token_shards(docs, lambda width: worker_encoder(shared.value, width), end_id, max(size, end_id), work)
     )
