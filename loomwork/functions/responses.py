@@ -53,9 +53,15 @@ def letter(response: Column) -> Column:
     return F.upper(F.coalesce(*found))
 
 
+def direct_text(answer: Column) -> Column:
+    """A direct answer without its lead-in."""
+    bare = F.regexp_replace(answer, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?iU)^(?:the\s+)?(?:final\s+)?answer\s*(?:is|:)\s*", ""), r"(?U)^\s+|\s+$", "")
+
+
 def direct_key(answer: Column) -> Column:
     """A direct answer without its lead-in, case, outer punctuation and runs of white space."""
-    bare = F.regexp_replace(F.trim(answer), r"(?i)^(?:the\s+)?(?:final\s+)?answer\s*(?:is|:)\s*", "")
+    bare = direct_text(answer)
     return F.regexp_replace(F.regexp_replace(F.lower(bare), r"^[\s\p{Punct}]+|[\s\p{Punct}]+$", ""), r"(?U)\s+", " ")
 
 

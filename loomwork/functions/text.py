@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 _EDGE = r"(?U)^\s+|\s+$"
 
-#: Phrases that mark a refusal.
+#: Marks of an image in a text.
 IMAGE_MARKER = r"(?i)!\[[^\]]*\]\(|<img|<image_\d+>"
 
 
@@ -40,14 +40,16 @@ def length_bucket(text: Column) -> Column:
 
 
 def option_type(text: Column) -> Column:
-    """year, numeric, short_entity (at most five capitalised words, no comma) or phrase."""
-    t = F.regexp_replace(text, _EDGE, "")
-    words = F.split(t, r"(?U)\s+")
+    """year, numeric (with a unit or not), short_entity (at most three words, the first
+    capitalised, no comma or final mark) or phrase."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), _EDGE, "")
+    number = r"(?U)^[-+]?(\d+\.\d+|\d+/\d+|\d+,\d+|\d+)(\s*(%|[a-zA-Z][a-zA-Z\d/^-]*))?$"
+    entity = t.rlike(r"^\p{Lu}") & (F.size(F.split(t, r"(?U)\s+")) <= 3) & ~t.rlike(r"[.?!;]$|,")
     return (
         F.when(t == "", "phrase")
-        .when(t.rlike(r"^(1\d{3}|20\d{2}|2100)$"), "year")
-        .when(t.rlike(r"^[-+]?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?( ?(%|[A-Za-z]{1,4}))?$") & ~t.rlike(r"^\d{1,3}(,\d{3}){2,}$"), "numeric")
-        .when((F.size(words) <= 5) & F.forall(words, lambda w: F.substring(w, 1, 1).rlike(r"^\p{Lu}")) & ~t.contains(","), "short_entity")
+        .when(t.rlike(r"(?U)^(1[0-9]{3}|20[0-9]{2}|2100)$"), "year")
+        .when(t.rlike(number), "numeric")
+        .when(entity, "short_entity")
         .otherwise("phrase")
     )
 
@@ -59,12 +61,19 @@ def labelled(options: Column, mark: str = ". ") -> Column:
 
 def think_strip(text: Column) -> Column:
     """Drop a think block and a leading label, squeeze blank lines."""
-    t = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
-    t = F.regexp_replace(t, r"(?is)^\s*(explanation|reasoning|answer)\s*:\s*", "")
+    t = F.regexp_replace(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""), _EDGE, "")
+    t = F.regexp_replace(t, r"(?iU)^(explanation|reasoning|answer|justification)\s*[:\-]\s*", "")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), _EDGE, "")
 
 
 def char_ngrams(text: Column, n: int = 5) -> Column:
-    """Distinct character n-grams; a shorter text is its own gram."""
-    whole = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(F.length(text) < n, F.array(text)).otherwise(F.array_distinct(whole))
+    """Distinct character n-grams, runs of white space as one space; a text of n characters or fewer is its own gram.
+
+    Grams are joined from an array of characters: a substring's place is found by a scan of the text."""
+    t = F.regexp_replace(text, r"(?U)\s+", " ")
+
+    def grams(c: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + j) for j in range(n))))
+        return F.when(F.size(c) <= n, F.array(F.array_join(c, ""))).otherwise(F.array_distinct(whole))
+
+    return F.transform(F.array(F.split(t, "")), grams)[0]

@@ -3,7 +3,10 @@
 import duckdb
 import pytest
 
-from loomwork.plans import catalog, responses  # noqa: F401
+from loomwork import plans
+from loomwork.plans import catalog
+
+plans.load_all()
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
