@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.workspace import Workspace
+
 
 def hash_order(seed: int, *keys: str) -> Column:
     """Order of all samples: MD5 of seed and key, the same in every SQL engine."""
@@ -54,18 +57,99 @@ def round_robin(df: DataFrame, stratum: str, order: list[Column], n: int) -> Dat
     return turn.orderBy("turn", stratum).limit(n)
 
 
+def block_topk(given: DataFrame, asked: DataFrame, similarity: Callable[[], Column], k: int, block: int = 256, slices: int = 64) -> DataFrame:
+    """The k rows of ``given`` most similar to each of ``asked``, ties to the smaller vec_id.
+
+    The asked rows are packed into blocks of about ``block``; each block meets each of the
+    given rows' slices by an equi-join of (block, slice), so neither side is broadcast
+    whole; a slice keeps its own first k for each query before they meet."""
+    blocks = max(1, -(-asked.count() // block))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    packed = asked.groupBy(place("query_id", blocks).alias("block")).agg(F.collect_list(F.struct(*asked.columns)).alias("_q"))
+    packed = packed.select("block", "_q", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    sliced = given.withColumn("slice", place("vec_id", slices))
+    met = sliced.join(packed, "slice").select(*given.columns, "slice", F.explode("_q").alias("_one")).select("*", "_one.*").where("vec_id <> query_id")
+    scored = met.select("query_id", "vec_id", "slice", similarity().alias("similarity"))
+    order = [F.desc("similarity"), F.col("vec_id")]
+    first = rank_in(scored, ["query_id", "slice"], order, k).drop("rank")
+    return rank_in(first, ["query_id"], order, k).select("query_id", "vec_id", "similarity", "rank")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], rank: str = "rank", total: str = "total") -> DataFrame:
+    """Adds each row's place (from 1) in its group and the group's size, with no group in one task.
+
+    Rows are dealt by ranges of group and order and written; a row's place is its place in
+    its range plus the rows of its group in the ranges before, a small table of a row a
+    range and group.  A column range is bounded by the session's shuffle partitions."""
+    spark = df.sparkSession
+    work = Workspace(spark, "numbered")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.select("*", *(c.alias(f"_o{i}") for i, c in enumerate(order)))
+    keys = [F.col(f"_o{i}") for i in range(len(order))]
+    dealt = work.save(keyed.repartitionByRange(n, *map(F.col, by), *keys).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(total, F.sum("_n").over(group))
+    counts = counts.select(F.col("_p").alias("_q"), *(F.col(b).alias(f"_b{i}") for i, b in enumerate(by)), "_before", total)
+    same = F.col("_p") == F.col("_q")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_b{i}"))
+    own = F.row_number().over(Window.partitionBy("_p", *by).orderBy(*keys))
+    placed = dealt.withColumn(rank, own.cast("long")).join(counts, same)
+    return placed.select(*df.columns, (F.col(rank) + F.col("_before")).alias(rank), total)
+
+
 def split_at(df: DataFrame, seed: int, key: str, cuts: list[tuple[str, float]], last: str, by: list[str] | None = None) -> DataFrame:
-    """Exact cuts of the hash order: floor(fraction * n) rows each, the rest is ``last``; within ``by`` if given.
-
-    Without ``by`` the order is cut by a threshold found from the ranks of one narrow column."""
-    order = hash_order(seed, key)
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = df.withColumn("_at", F.row_number().over(w.orderBy(order, key))).withColumn("_n", F.count(F.lit(1)).over(w))
-    label, edge = F.lit(last), F.lit(0)
-    bounds = []
-    for name, share in cuts:
-        edge = edge + F.floor(F.col("_n") * share)
+    """Exact cuts of the hash order: floor(fraction * n) rows each, the rest is ``last``; within ``by`` if given."""
+    edges = [(name, lambda n, share=share: F.floor(n * share)) for name, share in cuts]
+    return split_by(df, seed, key, edges, last, by)
+
+
+def split_by(df: DataFrame, seed: int, key: str, cuts: list[tuple[str, Callable[[Column], Column]]], last: str, by: list[str] | None = None) -> DataFrame:
+    """Cuts of the hash order whose sizes are given by functions of the group's size."""
+    ranked = numbered(df, by or [], [hash_order(seed, key), F.col(key)], "_at", "_size")
+    label, edge, bounds = F.lit(last), F.lit(0), []
+    for name, size in cuts:
+        edge = edge + size(F.col("_size"))
         bounds.append((name, edge))
     for name, edge in reversed(bounds):
         label = F.when(F.col("_at") <= edge, name).otherwise(label)
-    return ranked.withColumn("split", label).drop("_at", "_n")
+    return ranked.withColumn("split", label).drop("_at", "_size")
+
+
+def drawn(df: DataFrame, seed: int, key: str, n: int) -> DataFrame:
+    """n rows in hash order, all if there are fewer; each task keeps its own first n."""
+    return df.orderBy(hash_order(seed, key), key).limit(n)
+
+
+def keyed_last(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Each key's value in its last row by ``order``, null values included."""
+    return df.groupBy(key).agg(F.max(F.struct(order, value))[value].alias(value))
+
+
+def by_position(left: DataFrame, right: DataFrame, at: str) -> DataFrame:
+    """Rows of both sides with the same position; sides of different lengths are an error."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    sizes = count(left, "_l").join(count(right, "_r"))  # one row
+    ok = sizes.select(F.assert_true(F.col("_l") == F.col("_r"), "the sides differ in length").alias("_ok"))
+    return left.join(right, at).join(F.broadcast(ok)).where("_ok IS NULL").drop("_ok")
+
+
+def incomplete(items: DataFrame, done: DataFrame, key: str, wanted: int) -> DataFrame:
+    """Items that have fewer than ``wanted`` rows in ``done``; those begun are to be done anew."""
+    whole = done.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= wanted).select(key)
+    return items.join(whole, key, "left_anti")
+
+
+def good_prefix(df: DataFrame, at: str, good: Column) -> DataFrame:
+    """Rows before the first bad one, by position."""
+    bad = df.where(~F.coalesce(good, F.lit(False))).agg(F.min(at).alias("_first"))  # one row
+    return df.join(F.broadcast(bad)).where(F.col("_first").isNull() | (F.col(at) < F.col("_first"))).drop("_first")
+
+
+def require_unique(df: DataFrame, key: str) -> DataFrame:
+    """One row a key; a key that repeats is an error."""
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*[c for c in df.columns if c != key])).alias("_r"))
+    held = per.withColumn("_ok", F.assert_true(F.col("_n") == 1, f"{key} repeats")).where("_ok IS NULL")
+    return held.select(key, "_r.*").select(*df.columns)

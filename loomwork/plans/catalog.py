@@ -69,9 +69,12 @@ def frontier_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 round(avg(c / 8.0::DOUBLE), 6) AS accuracy, round(avg(boxed / 8.0::DOUBLE), 6) AS box_rate FROM a GROUP BY GROUPING SETS ((macro_cat), ())""")
 def category_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = attempts(spark, sf_dir)
-    a.createOrReplaceTempView("_attempts")
-    return spark.sql("""SELECT macro_cat, CASE WHEN grouping(macro_cat) = 1 THEN 'overall' ELSE 'macro' END AS section, count(*) AS problems,
-        round(avg(c / 8), 6) AS accuracy, round(avg(boxed / 8), 6) AS box_rate FROM _attempts GROUP BY GROUPING SETS ((macro_cat), ())""")
+    mean = lambda c, n: F.round(F.avg(F.col(c) / 8), 6).alias(n)
+    sets = a.groupingSets([[F.col("macro_cat")], []], "macro_cat").agg(
+        F.grouping("macro_cat").alias("g"), F.count(F.lit(1)).alias("problems"), mean("c", "accuracy"), mean("boxed", "box_rate")
+    )
+    return sets.select("macro_cat", F.when(F.col("g") == 1, "overall").otherwise("macro").alias("section"), "problems", "accuracy", "box_rate")
+
 
 
 _UID = r"substr(sha256(regexp_replace(lower(regexp_replace(text, '^[ \t-\r]+|[ \t-\r]+$', '', 'g')), '[ \t-\r]+', ' ', 'g')), 1, 16)"
@@ -135,9 +138,11 @@ _BUCKET = "CASE WHEN n_options <= 2 THEN '2' WHEN n_options = 3 THEN '3' WHEN n_
 @query(f"WITH {MCQ_SQL} SELECT 'source' AS section, source AS key, count(*) AS n FROM mcq GROUP BY source UNION ALL SELECT 'macro_cat', macro_cat, count(*) FROM mcq GROUP BY macro_cat UNION ALL SELECT 'k_bucket', {_BUCKET}, count(*) FROM mcq GROUP BY 2")
 def summary_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = mcq(spark, sf_dir).select("source", "macro_cat", text.k_bucket(F.col("n_options")).alias("k_bucket"))
-    q.createOrReplaceTempView("_questions")
-    return spark.sql("""SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(macro_cat) = 0 THEN 'macro_cat' ELSE 'k_bucket' END AS section,
-        coalesce(source, macro_cat, k_bucket) AS key, count(*) AS n FROM _questions GROUP BY GROUPING SETS ((source), (macro_cat), (k_bucket))""")
+    names = ["source", "macro_cat", "k_bucket"]
+    sets = q.groupingSets([[F.col(n)] for n in names], *names).agg(F.count(F.lit(1)).alias("n"), *(F.grouping(n).alias(f"_{n}") for n in names))
+    section = F.coalesce(*(F.when(F.col(f"_{n}") == 0, n) for n in names))
+    return sets.select(section.alias("section"), F.coalesce(*names).alias("key"), "n")
+
 
 
 @query(f"WITH {MCQ_SQL} SELECT qid, chr((65 + gold_idx)::INT) AS gold_letter, question || chr(10) || chr(10) || 'Choices:' || chr(10) || array_to_string(list_transform(options, lambda x, i: chr((64 + i)::INT) || '. ' || x), chr(10)) AS prompt FROM mcq")
@@ -176,9 +181,8 @@ def per_lang_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, lang, ((r - 1) // 32)::BIGINT AS batch FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('3|' || doc_id), doc_id) AS r,
 count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE (r - 1) // 32 < n // 32""")
 def mono_group_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("lang")
     d = load(spark, sf_dir, "documents").select("doc_id", "lang")
-    d = d.withColumn("r", F.row_number().over(w.orderBy(rows.hash_order(3, "doc_id"), "doc_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    d = rows.numbered(d, ["lang"], [rows.hash_order(3, "doc_id"), F.col("doc_id")], "r", "n")
     return d.where(F.expr("(r - 1) div 32 < n div 32")).select("doc_id", "lang", F.expr("(r - 1) div 32").alias("batch"))
 
 
@@ -235,9 +239,8 @@ def length_percentiles_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, n_chars AS p90 FROM (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE r = floor(n * 0.9) + 1")
 def length_percentiles_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("lang")
     d = load(spark, sf_dir, "documents").select("lang", "n_chars", "doc_id")
-    d = d.withColumn("r", F.row_number().over(w.orderBy("n_chars", "doc_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    d = rows.numbered(d, ["lang"], [F.col("n_chars"), F.col("doc_id")], "r", "n")
     return d.where(F.col("r") == F.floor(F.col("n") * 0.9) + 1).select("lang", F.col("n_chars").alias("p90"))
 
 
@@ -284,7 +287,4 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     e = e.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("qn"))
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).select(
-        "query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")) / (F.col("norm") * F.col("qn")), 6).alias("similarity")
-    )
-    return rows.rank_in(s, ["query_id"], [F.desc("similarity"), F.col("vec_id")], 5)
+    return rows.block_topk(e, q, lambda: F.round(dot(F.col("v"), F.col("q")) / (F.col("norm") * F.col("qn")), 6), 5)
