@@ -37,11 +37,11 @@ def without(df: DataFrame, block: DataFrame, *keys: str) -> DataFrame:
 def capped_first_wins(sources: list[DataFrame], key: str, order: str, cap: int) -> DataFrame:
     """First-wins over ordered sources, each stopped at ``cap`` rows: keys past a source's
     cap are not seen, so a later source may still give them."""
-    kept: list[DataFrame] = []
-    for df in sources:
+    work, kept = Workspace(sources[0].sparkSession, "capped"), []
+    for i, df in enumerate(sources):
         fresh = reduce(lambda d, k: without(d, k, key), kept, df)
         one = first_wins(fresh, key, order)
-        kept.append(one.orderBy(order).limit(cap))
+        kept.append(work.save(one.orderBy(order).limit(cap), f"source{i}"))  # read by every later source
     return reduce(DataFrame.unionByName, kept)
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomwork.operators.scoring import boxed_count
+from loomwork.workspace import Workspace
+
 
 def jsonl_strict(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines; a malformed line fails the job."""
@@ -25,10 +31,32 @@ def unpivot_categories(df: DataFrame, items: str, category: str = "category") ->
     return df.select(F.explode(items).alias(category, "_items")).select(category, F.explode("_items").alias("item"))
 
 
-def with_answers(questions: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
-    """Inner join with a keyed answer table by the key as text."""
+def jsonl_numbered(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """JSON lines with ``line_no``, each line's place in its file from 1; blank lines count but give no row.
+
+    A file is one split here, for a line's number is what stands before it; many files are read side by side."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = text.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "line")).where(F.trim("line") != "")
+    parsed = lines.select("file", (F.col("at") + 1).alias("line_no"), F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
+    return parsed.select("file", "line_no", "r.*")
+
+
+def with_answers(questions: DataFrame, answers: DataFrame, key: str = "id", letters: str = "ABCDEFGHIJKLMNOPQRST") -> DataFrame:
+    """Questions with the answer of a keyed table, by the key as text; a number becomes its letter.
+
+    A question without an answer, or a number without a letter, fails the job."""
     k = answers.select(F.col(key).cast("string").alias("_k"), "answer")
-    return questions.join(k, F.col(key).cast("string") == F.col("_k")).drop("_k")
+    named = F.array(*map(F.lit, letters))
+    found = questions.join(k, F.col(key).cast("string") == F.col("_k"), "left")
+    ok = F.assert_true(F.col("answer").isNotNull() & F.col("answer").between(0, len(letters) - 1), "a question has no answer")
+    return found.withColumn("_ok", ok).where("_ok IS NULL").withColumn("answer", F.get(named, F.col("answer"))).drop("_k", "_ok")
+
+
+def answer_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, answer) of a JSON object whose keys are ids and whose values hold an answer."""
+    whole = spark.read.text(path, wholetext=True)
+    entries = F.from_json("value", "map<string, struct<answer: int>>")
+    return whole.select(F.explode(entries).alias("id", "v")).select("id", "v.answer")
 
 
 def from_path(df: DataFrame, pattern: str, **groups: int) -> DataFrame:
@@ -36,22 +64,75 @@ def from_path(df: DataFrame, pattern: str, **groups: int) -> DataFrame:
     return df.select("*", *(F.regexp_extract("_metadata.file_path", pattern, g).alias(n) for n, g in groups.items()))
 
 
+def runs_below(spark: SparkSession, root: str, name: str, pattern: str, **groups: int) -> DataFrame:
+    """Files called ``name`` anywhere below ``root``: path and columns from it by the groups of a pattern.
+
+    Files whose path the pattern does not match are left out."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select("path")
+    return listed.where(F.col("path").rlike(pattern)).select("path", *(F.regexp_extract("path", pattern, g).alias(n) for n, g in groups.items()))
+
+
+SCORED = """benchmark_method string, n_problems long, n_completions long, metrics map<string, double>,
+ detailed_results array<struct<index: long, prompt: string, reference: string, n: long, c: long, boxed: long,
+ completions: array<struct<extracted: string, correct: boolean, boxed: boolean>>>>"""
+
+
+def scored_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """One row a scored file: file, its metrics, and box_compliance from its details where they lack it.
+
+    A file without metrics or details is an error."""
+    raw = spark.read.schema(SCORED).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("file"))
+    ok = F.assert_true(F.col("metrics").isNotNull() & F.col("detailed_results").isNotNull(), "not a scored file")
+    boxed = F.aggregate("detailed_results", F.lit(0).cast("long"), lambda s, d: s + F.coalesce(boxed_count(d["boxed"], d["completions"]), F.lit(0)))
+    made = F.aggregate("detailed_results", F.lit(0).cast("long"), lambda s, d: s + F.size(d["completions"]))
+    held = raw.withColumn("_ok", ok).where("_ok IS NULL")
+    rate = F.coalesce(F.try_element_at("metrics", F.lit("box_compliance")), F.when(made > 0, boxed / made))
+    return held.select("file", "benchmark_method", "n_problems", "metrics", rate.alias("box_compliance"))
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines, as they are in UTF-8, null fields left out."""
+    df.write.mode("overwrite").json(path)
+
+
 def write_split(df: DataFrame, path: str, column: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(column).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """A small report: fixed columns, header, one file."""
+def write_chunks(df: DataFrame, path: str, chunk: str) -> None:
+    """Rows in a directory for each value of ``chunk``: a chunk written again replaces its own rows, and
+    readers of ``path`` see whole chunks only, as the committer publishes them together."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(chunk).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str], most: int = 1_000_000) -> None:
+    """A report: fixed columns, header, one file; more than ``most`` rows are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a report of over {most} rows")
     df.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_report(spark: SparkSession, sections: dict[str, DataFrame], path: str, most: int = 10_000) -> dict[str, list[dict]]:
+    """A small JSON document with the rows of each section; a section of over ``most`` rows is an error."""
+    report = {}
+    for name, df in sections.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"section {name} has over {most} rows")
+        report[name] = [r.asDict(recursive=True) for r in rows]
+    text = json.dumps(report, ensure_ascii=False, indent=2, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return report
+
+
 def append_new(spark: SparkSession, df: DataFrame, path: str, key: str) -> DataFrame:
-    """Append the rows whose key the sink does not hold yet; returns them."""
+    """Append the rows whose key the sink does not hold yet, one row a key; returns them as written."""
+    fresh = df.dropDuplicates([key])
     try:
-        done = spark.read.parquet(path).select(key).distinct()
-        df = df.join(done, key, "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+        fresh = fresh.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti").select(*df.columns)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    df.write.mode("append").parquet(path)
-    return df
+    written = Workspace(spark, "append").save(fresh, "rows")
+    written.write.mode("append").parquet(path)
+    return written
