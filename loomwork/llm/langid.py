@@ -213,7 +213,8 @@ def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> str:
                 found: Counter[str] = Counter()
                 for text in own:
                     found.update(tokens(text))
-                yield pd.DataFrame({"lang": at[lang], "word": list(found), "n": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"lang": at[lang], "word": list(found), "n": list(found.values())})
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -224,7 +225,8 @@ def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> str:
                     for word, n in zip(words, own["n"], strict=True):
                         for g in grams_of(word, k) if k else (word,):
                             found[g] += n
-                    yield pd.DataFrame({"key": entry_keys(list(found), k), "k": k, "lang": lang, "n": list(found.values())})
+                    if found:
+                        yield pd.DataFrame({"key": entry_keys(list(found), k), "k": k, "lang": lang, "n": list(found.values())})
 
     folder = work.at("model")
 
