@@ -240,9 +240,12 @@ def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> str:
     entries = words.mapInPandas(split, "key long, k int, lang int, n long").groupBy("key", "k", "lang").agg(F.sum("n").alias("n"))
     entries = work.save(entries, "entries")
     made = entries.select("key", "k", "lang", "n").repartition(1).sortWithinPartitions("key", "lang").mapInPandas(write, "uri string")
-    uri = work.save(made, "manifest").first()["uri"]
+    row = work.save(made, "manifest").first()
     work.drop("words", "entries")
-    return uri
+    if row is None:  # nothing to learn from, so no task ran
+        none = np.zeros(0, np.int64)
+        return files.put(folder, "model", pack(languages, none, none, none, none, plan))
+    return row["uri"]
 
 
 def predict(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
