@@ -22,12 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.workspace import Workspace
 
+#: More buckets than this cannot each hold as large a share of all memberships.
+_HOT = 4096
+
 
 @dataclass(frozen=True)
 class NearDup:
@@ -36,7 +40,7 @@ class NearDup:
     every band with probability (1 - 0.85**rows)**bands, 7e-9 here.  bits: kept of
     each minimum.  slack: of the estimate below the threshold, six standard
     deviations here.  seed: of the permutations.
-    block_items: shingles of a block that one task holds (twice)."""
+    block_items: shingles of a block, about, of which one task holds two."""
 
     width: int = 3
     percent: int = 85
@@ -45,7 +49,7 @@ class NearDup:
     bits: int = 4
     slack: float = 0.19
     seed: int = 5
-    block_items: int = 4_000_000
+    block_items: int = 500_000
 
     @property
     def minima(self) -> int:
@@ -53,12 +57,18 @@ class NearDup:
 
 
 class _WordHash(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words, remembered up to a bound in bytes; long words are not."""
+
+    room = 64 << 20
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self.room -= 160 + len(word)
+            if self.room < 0:
+                self.clear()
+                del self.room
+            self[word] = h
         return h
 
 
@@ -185,7 +195,7 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
         round_ += 1
         edges = work.save(small.where("u > v").distinct(), f"{name}-{round_}")
         now = edges.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum("v"), F.lit(0)).cast("string"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))
+            F.count(F.lit(1)), F.coalesce(F.sum(F.col("v").cast("decimal(20,0)")), F.lit(0)).cast("string"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))
         ).first()
         work.drop(f"{name}-{round_ - 1}", f"{name}-large{round_ - 1}")
         if now == before:
@@ -193,6 +203,13 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
         before = now
 
 
+def _by_key(rows: DataFrame, told: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows joined with what is told of their key; the rows of hot keys (fewer than ``_HOT``
+    keys, so a list to broadcast) stay where they are."""
+    known = F.broadcast(told.join(F.broadcast(hot), "key", "left_semi"))
+    return rows.join(known, "key").unionByName(rows.join(F.broadcast(hot), "key", "left_anti").join(told, "key"))
+
+
 def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     """Classes of documents linked by similar shingle sets.
 
@@ -200,28 +217,28 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     per input row: doc_id, n_shingles (size of its set), component_id (smallest
     doc_id reachable, itself included), kept (doc_id = component_id).  A null text,
     or one without words, has an empty set and is linked with nothing.  Rows that
-    repeat a doc_id are one document: equal texts are linked anyway, and links of
-    either text hold for the id.  A null doc_id takes no part: component null,
+    repeat a doc_id are one document: what any of its texts is linked with is linked
+    with all of them (a row without words stays alone).  A null doc_id takes no part: component null,
     kept true.  An empty table gives an empty result.  Sets are held as 64-bit
     hashes of shingles.
     """
     work = Workspace(docs.sparkSession, "neardup")
 
-    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for text in frame["text"]:
+            for text in batch["text"].to_pylist():
                 items = shingles(text or b"", plan.width, known)
                 sig, keys = signature(items, plan) if len(items) else (None, None)
                 rows.append((len(items), hashlib.md5(items.tobytes()).digest() if len(items) else None, sig, keys))
-            out = pd.DataFrame(rows, columns=["n", "fp", "sig", "keys"])
-            out.insert(0, "doc_id", frame["doc_id"].array)
-            yield out
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n", "fp", "sig", "keys"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     feats = work.save(
-        source.mapInPandas(features, "doc_id long, n long, fp binary, sig array<int>, keys array<long>"), "features"
+        source.mapInArrow(features, "doc_id long, n long, fp binary, sig array<int>, keys array<long>"), "features"
     )
     # equal sets are one class; only its smallest document goes on
     classes = work.save(
@@ -235,9 +252,17 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
         .select("id", "s.*"),
         "reps",
     )
+    # an id that repeats with other texts is one document: it links their classes
+    own = feats.where("fp IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "fp")
+    several = own.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
+    joined = own.join(several, "doc_id", "left_semi").join(classes, "fp").where("doc_id <> rep")
+    joined = work.save(joined.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "joined")
     members = reps.select("id", F.explode("keys").alias("key")).distinct()
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    open_ = work.save(members.join(shared, "key"), "open0")
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("a")).where("c > 1")
+    buckets = work.save(buckets, "buckets")
+    total = buckets.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    hot = buckets.where(F.col("c") * _HOT > total).select("key")  # fewer than _HOT keys
+    open_ = work.save(_by_key(members, buckets.select("key", "a"), hot), "open0")
     wanted = open_.select("id").distinct()
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,8 +277,7 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
         "sets",
     )
     # first round: every member of a bucket meets the bucket's smallest document
-    lead = open_.groupBy("key").agg(F.min("id").alias("a"))
-    pairs = open_.join(lead, "key").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    pairs = open_.where("a < id").select("a", F.col("id").alias("b")).distinct()
     left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     likely = pairs.join(left, "a").join(right, "b").where(
@@ -265,24 +289,18 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     xb = table.select(F.col("id").alias("b"), F.col("items").alias("xb"))
     found = likely.join(xa, "a").join(xb, "b").withColumn("both", F.size(F.array_intersect("xa", "xb")))
     found = found.where(100 * F.col("both") >= plan.percent * (F.size("xa") + F.size("xb") - F.col("both")))
-    found = work.save(found.select("a", "b"), "links")
+    found = work.save(found.select("a", "b").unionByName(joined), "links")
     comp = components(found, work, "first")
     # second round: buckets that are not one component yet are compared within bounded blocks
     rest = (
-        open_.join(lead, "key")
-        .where("a < id")
+        open_.where("a < id")
         .join(comp.withColumnRenamed("node", "id"), "id", "left")
         .select("key", "id", F.coalesce("root", "id").alias("c"))
     )
-    split = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     sizes = reps.groupBy("id").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("key").orderBy("id")
-    blocked = (
-        rest.join(split, "key")
-        .join(sizes, "id")
-        .withColumn("block", F.floor((F.sum("n").over(order) - F.col("n")) / plan.block_items))
-        .withColumn("blocks", F.max("block").over(Window.partitionBy("key")) + 1)
-    )
+    split = rest.join(sizes, "id").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("n").alias("n"))
+    split = work.save(split.where("lo <> hi").select("key", F.ceil(F.col("n") / plan.block_items).alias("blocks")), "split")
+    blocked = _by_key(rest, split, hot).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     units = work.save(
         blocked.select("key", "id", "c", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("o")).select(
             "key", "id", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")
@@ -294,12 +312,11 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     more = work.save(more, "more")
     known = found.unionByName(more)
     comp = components(known, work, "all")
-    work.drop("sets", "open0", "units")
+    work.drop("sets", "open0", "units", "likely", "reps", "buckets")
     roots = comp.select(F.col("node").alias("rep"), "root")
     named = classes.join(roots, "rep", "left").select(
         F.col("fp").alias("f"), F.coalesce("root", "rep").alias("root")
     )
-    # an id that repeats with other texts joins their classes
     out = feats.select("doc_id", "n", "fp").join(named, F.col("fp") == F.col("f"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select(

@@ -74,3 +74,39 @@ SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p JOIN f USING (html)
 """
+
+_SIX = "replace(coalesce({}, ''), '\\', '\\\\')"
+_CONTROLS = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
+
+OP6 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+w AS (
+  SELECT *, length(regexp_replace({_SIX.format('text')}, '({_CONTROLS})', '\\1+', 'g')) AS text_chars,
+    length(replace(regexp_replace({_SIX.format('role')}, '({_CONTROLS})', '\\1+', 'g'), chr(10), '\\n')) AS role_chars
+  FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + role_chars + 1 + text_chars + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM w GROUP BY conv_id
+"""
+
+OP7 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+s AS (
+  SELECT row_number() OVER () AS row_id, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, chr(1))]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2])) END AS x FROM d),
+k AS (SELECT doc_id, x, len(x) AS n, md5(array_to_string(list_sort(x), chr(2))) AS f FROM s),
+r AS (SELECT f, any_value(x) AS x, any_value(n) AS n, min(doc_id) AS id FROM k WHERE n > 0 GROUP BY f),
+g AS (SELECT id, n, unnest(x) AS h FROM r),
+p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS both_ FROM g a JOIN g b ON a.h = b.h AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * both_ >= 85 * (na + nb - both_)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT doc_id, id FROM k JOIN r USING (f) UNION SELECT id, doc_id FROM k JOIN r USING (f)),
+c(node, root) AS (SELECT DISTINCT doc_id, doc_id FROM k UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node WHERE c.root < e.b),
+m AS (SELECT node, min(root) AS root FROM c GROUP BY node)
+SELECT k.doc_id, k.n::BIGINT AS n_shingles, CASE WHEN k.n > 0 THEN m.root ELSE k.doc_id END AS component_id, k.n = 0 OR m.root = k.doc_id AS kept FROM k JOIN m ON m.node = k.doc_id
+"""

@@ -107,4 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_distribution_quality": oracles.OP1, "op2_warc_dictionary": oracles.OP2}
+    return {
+        "op1_distribution_quality": oracles.OP1, "op2_warc_dictionary": oracles.OP2,
+        "op6_chat_reply_trees": oracles.OP6, "op7_minhash_neardup": oracles.OP7,
+    }
