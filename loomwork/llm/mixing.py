@@ -110,40 +110,31 @@ def _fold(seed: int, level: int) -> str:
     )
 
 
-def mix(sizes: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
-    """How often each document enters the mix.
+def round_groups(groups: DataFrame, plan: MixPlan, work: Workspace) -> DataFrame:
+    """How often documents enter the mix, equal ones together.
 
-    Input: doc_id long, source string, size long (words; null counts as 0); other
-    columns are ignored.  Output, one row per input row: doc_id, source, size,
-    source_size, target, copies (long, at most plan.most).  Null sources form one
-    source, ordered last.  Rows that repeat doc_id, source and size are rounded
-    as one document and get the same copies; a null doc_id is a value like any
-    other.  Documents of size 0 get no copies.  An empty table gives an empty
-    result.  Random moves depend on the seed and the rows alone, so reruns agree.
+    Input: one row for each doc_id, source, size (long, not null) and m, the number of
+    its equal rows.  Output: doc_id, source, size, source_size, target, copies, times:
+    so many of its rows get so many copies.  A group may have several output rows; their
+    times add up to m.
+
+    Of m equal rows with the fractional probability p, floor(m p) get one copy more
+    and at most one row, with what remains of m p, is rounded against other documents.
     """
-    work = Workspace(sizes.sparkSession, "mix")
-    docs = work.save(
-        sizes.select(F.col("doc_id").cast("long"), "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
-        .groupBy("doc_id", "source", "size")
-        .agg(F.count(F.lit(1)).alias("m")),
-        "documents",
-    )
-    goal = work.save(
-        targets(docs.select("source", (F.col("size") * F.col("m")).alias("size")), plan), "targets"
-    )
+    goal = work.save(targets(groups.select("source", (F.col("size") * F.col("m")).alias("size")), plan), "targets")
     most = goal.agg(F.max("n_docs")).first()[0] or 0
-    items = docs.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    items = items.drop("s").withColumn(
-        "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    )
-    items = items.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
-    fixed = (F.col("size") == 0) | (F.col("p") == 0)
+    items = groups.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    items = items.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0)).withColumn("whole", F.floor("rate"))
+    more = F.col("m") * (F.col("rate") - F.col("whole"))
+    items = items.withColumn("up", F.floor(more)).withColumn("p", more - F.floor(more))
     same = ["source", "source_size", "target", "whole"]
-    sure = items.where(fixed).select(
-        *same, "doc_id", "size", "m", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("copies")
-    )
-    left = items.where(~fixed).select(*same, "n_docs", "doc_id", "size", "m", "p")
-    parts, level, chunks = [sure], 0, most
+    told = lambda copies, times: F.struct(copies.cast("long").alias("copies"), times.cast("long").alias("times"))
+    open_ = (F.col("p") > 0).cast("long")
+    known = F.array(told(F.col("whole") + 1, F.col("up")), told(F.col("whole"), F.col("m") - F.col("up") - open_))
+    parts = [items.select(*same, "doc_id", "size", F.explode(known).alias("k")).select(*same, "doc_id", "size", "k.*").where("times > 0")]
+    left = items.where("p > 0").select(*same, "n_docs", "doc_id", "size", F.lit(1).cast("long").alias("m"), "p")
+    level, chunks = 0, most
     while chunks > 1 or level == 0:
         chunks = -(-chunks // plan.chunk)
         n = F.greatest(F.ceil(F.col("n_docs") / plan.chunk ** (level + 1)), F.lit(1))
@@ -151,24 +142,43 @@ def mix(sizes: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
         folded = work.save(
             left.withColumn("chunk", F.pmod(spread, n))
             .groupBy(*same, "n_docs", "chunk")
-            .agg(F.sort_array(F.collect_list(F.struct((-F.col("size") * F.col("m")).alias("k"), spread.alias("h"), "doc_id", "size", "m", "p"))).alias("items"))
+            .agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("k"), spread.alias("h"), "doc_id", "size", "m", "p"))).alias("items"))
             .withColumn("items", F.expr("transform(items, i -> struct(i.doc_id, i.size, i.m, i.p))"))
             .select(*same, "n_docs", F.expr(_fold(plan.seed, level)).alias("f")),
             f"level{level}",
         )
         parts.append(
             folded.select(*same, F.explode("f.out").alias("x")).select(
-                *same, "x.doc_id", "x.size", "x.m", (F.col("whole") + F.col("x.p").cast("long")).alias("copies")
+                *same, "x.doc_id", "x.size", (F.col("whole") + F.col("x.p").cast("long")).alias("copies"), F.lit(1).cast("long").alias("times")
             )
         )
         left = folded.select(*same, "n_docs", "f.cur.*")
         level += 1
     last = F.expr(f"{_unit('doc_id', 'size', f'{plan.seed}L', '-1L')} < p")
-    parts.append(left.select(*same, "doc_id", "size", "m", (F.col("whole") + last.cast("long")).alias("copies")))
+    parts.append(left.select(*same, "doc_id", "size", (F.col("whole") + last.cast("long")).alias("copies"), F.lit(1).cast("long").alias("times")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"),
-        F.explode(F.expr("sequence(1L, m)")).alias("_"),
-    ).drop("_")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), "times")
+
+
+def mix(sizes: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
+    """How often each document enters the mix.
+
+    Input: doc_id long, source string, size long (words; null counts as 0); other
+    columns are ignored.  Output, one row per input row: doc_id, source, size,
+    source_size, target, copies (long, at most plan.most).  Null sources form one
+    source, ordered last.  Rows that repeat doc_id, source and size are documents of
+    their own and may get different copies; a null doc_id is a value like any
+    other.  Documents of size 0 get no copies.  An empty table gives an empty
+    result.  Random moves depend on the seed and the rows alone, so reruns agree.
+    """
+    work = Workspace(sizes.sparkSession, "mix")
+    groups = work.save(
+        sizes.select(F.col("doc_id").cast("long"), "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
+        .groupBy("doc_id", "source", "size")
+        .agg(F.count(F.lit(1)).alias("m")),
+        "documents",
+    )
+    rounded = round_groups(groups, plan, work)
+    return rounded.select("*", F.explode(F.expr("sequence(1L, times)")).alias("_")).drop("_", "times")
