@@ -55,11 +55,12 @@ class QualityRules:
     min_share_per_mille: int = 1
 
 
-def _with_counts(docs: DataFrame, rules: QualityRules) -> DataFrame:
+def _with_counts(docs: DataFrame, row: Column) -> DataFrame:
+    """Counts of each text beside ``row``, what the caller keeps of the input row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", "lang", text.alias("text"), words(F.col("text")).alias("words"))
+    df = docs.select(row.alias("row"), "lang", text.alias("text"), words(F.col("text")).alias("words"))
     df = df.select(
-        "doc_id",
+        "row",
         "lang",
         "text",
         F.size("words").cast("long").alias("n_words"),
@@ -126,7 +127,7 @@ def references(docs: DataFrame, rules: QualityRules, work: Workspace) -> DataFra
     The words are counted over all documents, summed in each task before the
     shuffle; the top words of a language are cut in each task before they meet.
     """
-    counted = _with_counts(docs, rules).where(F.col("lang").isNotNull())
+    counted = _with_counts(docs, F.lit(0)).where(F.col("lang").isNotNull())
     sums = counted.groupBy("lang").agg(
         F.sum("n_words").alias("r_words"),
         F.sum("n_chars").alias("r_chars"),
@@ -174,11 +175,11 @@ def references(docs: DataFrame, rules: QualityRules, work: Workspace) -> DataFra
     return work.save(made.withColumnRenamed("lang", "r_lang").coalesce(1), "references")
 
 
-def distribution_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+def distribution_quality(docs: DataFrame, rules: QualityRules = QualityRules(), carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Counts, distances and verdict of every document.
 
-    Input: doc_id, text, lang; other columns are ignored.  Output, one row per
-    input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    Input: text, lang and the columns ``carry``; others are ignored.  Output, one row
+    per input row: the columns ``carry`` (doc_id), n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), base_failed, kept (boolean), char_distance,
     word_distance (double; null where not judged).  A null text counts as
     empty: no words, so base_failed.  A null lang, or a language without a
@@ -193,13 +194,13 @@ def distribution_quality(docs: DataFrame, rules: QualityRules = QualityRules())
     """
     work = Workspace(docs.sparkSession, "quality")
     refs = references(docs, rules, work)
-    df = _repeats(_with_counts(docs, rules), rules.window)
+    df = _repeats(_with_counts(docs, F.struct(*(F.col(f"`{c}`") for c in carry))), rules.window)
     df = df.withColumn(
         "n_symbols", F.col("n_chars") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))
     ).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t-\r]")))
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     df = df.select(
-        "doc_id", "lang", "n_words", "word_chars", F.col("n_symbols").cast("long").alias("n_symbols"),
+        "row", "lang", "n_words", "word_chars", F.col("n_symbols").cast("long").alias("n_symbols"),
         "n_dup_lines", "n_repeat_words", "n_chars", *(f"c_{c}" for c in CLASSES), "hashes",
     )
     df = df.join(refs, F.col("lang") == F.col("r_lang"), "left")
@@ -250,7 +251,7 @@ def distribution_quality(docs: DataFrame, rules: QualityRules = QualityRules())
         F.col("word_distance") <= rules.max_word_distance, F.lit(True)
     )
     out = df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & near).alias("kept"), "char_distance", "word_distance",
     )
     return work.save(out, "decisions")
