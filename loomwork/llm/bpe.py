@@ -14,15 +14,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _MASK = (1 << 64) - 1
-#: Distinct pieces of text whose ids a worker keeps at hand.
-_MEMO = 600_000
+#: Bytes of pieces of text and of pre-tokens whose ids a worker keeps at hand, each, about.
+_MEMO_BYTES = 64 << 20
+_ENTRY = 200
+#: Longer pieces and pre-tokens are not kept.
+_LONG = 64
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -155,42 +158,54 @@ class ByteBpe:
             self.vocabulary[i] = token
         self.memo: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
+        self.memo_bytes = self.token_bytes = 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.tokens) > _MEMO:
-            self.tokens.clear()
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces; pre-tokens of ordinary length are kept."""
+        if self.token_bytes > _MEMO_BYTES:
+            self.tokens, self.token_bytes = {}, 0
         split = [self.split(p) for p in pieces]
         known = self.tokens
         distinct = list({t for own in split for t in own if t not in known})
         coded = [t.encode() for t in distinct]
         for t, b, i in zip(distinct, coded, self.table.find(coded), strict=True):
             known[t] = i.to_bytes(4, "little") if i >= 0 else np.array(merge(b, self.single, self.pairs), "<u4").tobytes()
-        for piece, own in zip(pieces, split, strict=True):
-            self.memo[piece] = b"".join([known[t] for t in own])
+        self.token_bytes += sum(map(len, coded)) * 2 + _ENTRY * len(distinct)
+        out = {piece: b"".join([known[t] for t in own]) for piece, own in zip(pieces, split, strict=True)}
+        for t in distinct:
+            if len(t) > _LONG:
+                del known[t]
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut, memo, out = self._cut.split, self.memo, []
-        group = max(1, min(len(texts), 64))
-        for at in range(0, len(texts), group):
+        cut, out = self._cut.split, []
+        for at in range(0, len(texts), 64):
             split = []
-            for text in texts[at : at + group]:
+            for text in texts[at : at + 64]:
                 pieces = cut(text)
                 pieces[1:] = map(" ".__add__, pieces[1:])
                 split.append(pieces)
+            if self.memo_bytes > _MEMO_BYTES:
+                self.memo, self.memo_bytes = {}, 0
+            memo = self.memo
             new = [p for p in set().union(*split) if p not in memo]
-            if len(memo) + len(new) > _MEMO:
-                memo.clear()
-                new = list(set().union(*split))
-            if new:
-                self._learn(new)
+            memo.update(self._learn(new))
+            self.memo_bytes += sum(map(len, new)) * 3 + _ENTRY * len(new)
             out += [b"".join(map(memo.__getitem__, pieces)) for pieces in split]
+            for p in new:
+                if len(p) > _LONG:
+                    del memo[p]
         return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+#: This worker's coder, kept for its next task.
+_coders: dict[tuple[str, str], ByteBpe] = {}
+
+
 def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, keep_ids: bool = False) -> DataFrame:
     """Encode whole texts and decode them again.
 
@@ -205,18 +220,24 @@ def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, keep_ids:
         raise ValueError("a rank file of over 16 MiB is not sent to the workers")
     ranks = load_ranks(ranks_file)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = ByteBpe(shared.value[0], pattern, shared.value[1])
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            rows = []
-            for ids in bpe.encode_batch(texts):
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest())
-                rows.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if keep_ids else row)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
-            out.insert(0, "doc_id", frame["doc_id"].array)
-            yield out
+    name = hashlib.sha256(ranks_file).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (name, pattern) not in _coders:
+            _coders.clear()
+            _coders[name, pattern] = ByteBpe(shared.value[0], pattern, shared.value[1])
+        bpe = _coders[name, pattern]
+        for batch in batches:
+            coded = bpe.encode_batch([t or "" for t in batch["text"].to_pylist()])
+            columns = [
+                batch["doc_id"],
+                pa.array([len(ids) // 4 for ids in coded], pa.int64()),
+                pa.array([hashlib.sha256(ids).hexdigest() for ids in coded]),
+                pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in coded]),
+            ]
+            if keep_ids:
+                columns.append(pa.array([np.frombuffer(ids, "<i4") for ids in coded], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
