@@ -3,6 +3,9 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns
 a DataFrame, written as Parquet and read again as the next stage's docs.  All but
 the last return the columns of documents.
+
+Decisions are made for rows, not for ids: a null doc_id is a row like any other,
+and rows that repeat a doc_id are each judged by their own text.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.bpe import encode_documents
 from loomwork.llm.langid import UNKNOWN, fit, held_out, predict
 from loomwork.llm.minhash import NearDup, near_duplicates
-from loomwork.llm.mixing import mix
+from loomwork.llm.mixing import MixPlan, round_groups
 from loomwork.llm.quality import distribution_quality
 from loomwork.llm.queries import table, vocabulary
 from loomwork.llm.text import n_words
@@ -26,37 +29,51 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR = NearDup(width=5, percent=80, bands=40, rows=4, slack=0.21)
 
 
-def _kept(docs: DataFrame, decisions: DataFrame, keep: str) -> DataFrame:
-    """Rows of ``docs`` whose decision, found by doc_id, is to keep them."""
-    ids = decisions.where(keep).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter: no language can be told."""
+    """Drops documents without a letter, for no language can be told: null and empty texts
+    among them, and every row of a table from which nothing can be learned."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return _kept(docs, predict(docs, model), f"lang_pred <> '{UNKNOWN}'")
+    return predict(docs, model, carry=COLUMNS).where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or diverge from their language."""
-    return _kept(docs, distribution_quality(docs), "kept")
+    """Drops documents that fail the base rules (null, empty and very short texts do) or
+    diverge from their language; a null lang is not judged by divergence."""
+    return distribution_quality(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each class of near copies, by five-word shingles at 80 %."""
-    return _kept(docs, near_duplicates(docs, NEAR), "kept")
+    """Keeps one row of each class of near copies, by five-word shingles at 80 %: that with
+    the smallest doc_id, null last.  Rows equal in every column are one.  Texts without
+    words are linked with nothing and stay.  Rows are told apart by 64-bit hashes of all
+    their columns, so no copy of the texts is written."""
+    keyed = docs.select(F.xxhash64(*COLUMNS).alias("_key"), *COLUMNS)
+    classes = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), NEAR)
+    told = classes.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(keyed.select("_key", "doc_id").distinct(), "_key")
+    first = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key"))
+    first = Workspace(spark, "dedup").save(first.select("_key"), "first")
+    kept = keyed.join(first, "_key", "left_semi").groupBy("_key").agg(F.first(F.struct(*COLUMNS)).alias("_row"))
+    return kept.select("_row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix says: none, once or twice."""
-    mixed = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    copies = Workspace(spark, "pipeline").save(mixed.where("copies > 0").select("doc_id", "copies").distinct(), "copies")
-    return docs.join(copies, "doc_id").select(*COLUMNS, F.explode(F.expr("sequence(1L, copies)")).alias("_")).drop("_")
+    """Takes each document as often as the mix says: none, once or twice.  Rows equal in
+    every column are documents of their own, and their copies are taken together.
+    Documents without words are taken never."""
+    work = Workspace(spark, "taken")
+    keyed = docs.select(F.xxhash64(*COLUMNS).alias("_key"), *COLUMNS)
+    sized = keyed.select(F.col("_key").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
+    groups = work.save(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")), "groups")
+    rounded = round_groups(groups, MixPlan(), work)
+    copies = rounded.groupBy(F.col("doc_id").alias("_key")).agg(F.sum(F.col("copies") * F.col("times")).alias("_n")).where("_n > 0")
+    copies = work.save(copies, "copies")
+    one = keyed.groupBy("_key").agg(F.first(F.struct(*COLUMNS)).alias("_row"))
+    return one.join(copies, "_key").select("_row", F.explode(F.expr("sequence(1L, _n)")).alias("_")).select("_row.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row of the mix, with digests of the ids and of the decoded text."""
+    """Token ids of every row of the mix, with digests of the ids and of the decoded text;
+    a null text has no ids."""
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
     return encode_documents(docs, ranks, public_tokenizers.PATTERN, keep_ids=True)
 
@@ -76,6 +93,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each one's result written and read again."""
     docs, work = table(spark, sf_dir, "documents"), Workspace(spark, "stages")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = work.save(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
