@@ -17,7 +17,9 @@ import json
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -86,9 +88,9 @@ class WordEncoder:
         # how the file writes bytes as characters, from the library itself
         letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ" if self.cuts else ""
         self.as_bytes = {ord(c): self.library.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters if not c.isascii()}
+        self.code = "H" if width == 2 else "I"
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.bytes = 0
+        self.pieces = _Pieces(self._piece)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -98,46 +100,50 @@ class WordEncoder:
         if (known := self.words.get(word)) is not None:
             return known
         tokens = self.ask_word(word if word.isascii() else word.translate(self.as_bytes))
-        ids = np.array([t.id for t in tokens], self.kind).tobytes()
+        ids = self._bytes([t.id for t in tokens])
         if len(word) <= _LONG:
             self.words[word] = ids
-            self.bytes += _ENTRY + 3 * len(word)
+            self.pieces.room -= _ENTRY + 3 * len(word)
         return ids
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces."""
-        plain, word = _PLAIN.fullmatch, self._word
-        out, whole = {}, []
-        for p in new:
-            if plain(p):
-                own = _SPLIT_PLAIN.findall(p.lower())
-                out[p] = word(own[0]) if len(own) == 1 else b"".join(map(word, own))
-            else:
-                whole.append(p)
-        for at in range(0, len(whole), 1024):
-            some = whole[at : at + 1024]
-            out.update(zip(some, self._whole(some), strict=True))
-        return out
+    def _bytes(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not _PLAIN.fullmatch(piece):
+            return self._whole([piece])[0]
+        own = _SPLIT_PLAIN.findall(piece.lower())
+        return self._word(own[0]) if len(own) == 1 else b"".join(map(self._word, own))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [i for at in range(0, len(texts), 64) for i in self._whole(texts[at : at + 64])]
         out = []
-        for at in range(0, len(texts), 128):
-            split = [self._gap.split(t) if self._odd.search(t) else t.split() for t in texts[at : at + 128]]
-            if self.bytes > _MEMO_BYTES:
-                self.words, self.pieces, self.bytes = {}, {}, 0
-            known = self.pieces
-            new = [p for p in set().union(*split) if p not in known]
-            long = [p for p in new if len(p) > _LONG]
-            known.update(self._learn(new))
-            self.bytes += sum(map(len, new)) * 3 + _ENTRY * len(new)
-            out += [b"".join(map(known.__getitem__, own)) for own in split]
-            for p in long:
-                del known[p]
+        for text in texts:
+            if self.pieces.room < 0:
+                self.words, self.pieces = {}, _Pieces(self._piece)
+            pieces = self._gap.split(text) if self._odd.search(text) else text.split()
+            out.append(b"".join(map(self.pieces.__getitem__, pieces)))
         return out
 
 
+class _Pieces(dict):
+    """Ids of pieces, asked for when first met; long pieces are not kept."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        self.ask, self.room = ask, _MEMO_BYTES
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ask(piece)
+        if len(piece) <= _LONG:
+            self[piece] = ids
+            self.room -= _ENTRY + 3 * len(piece)
+        return ids
+
+
 _encoders: dict[tuple, WordEncoder] = {}
 
 
@@ -204,7 +210,7 @@ def write_token_shards(
     shard_bytes: int = 8 << 20,
     dictionary_bytes: int = 32 << 10,
     sample_rows: int = 2000,
-    sample_bytes: int = 16 << 10,
+    sample_bytes: int = 8 << 10,
     level: int = 3,
     most_parts: int = 20_000,
 ) -> tuple[DataFrame, bytes]:
@@ -212,8 +218,8 @@ def write_token_shards(
 
     Input: doc_id long and text (null: empty).  Output: the manifest (uri, tokens,
     docs, base: ids before the shard) and the shared dictionary.  The dictionary
-    learns from ``sample_rows`` documents drawn by a hash, a window of at most
-    ``sample_bytes`` of each, at a place drawn likewise: a bounded sample.
+    learns from about ``sample_rows`` rows drawn by a hash of the row, a window of at
+    most ``sample_bytes`` of each, at a place drawn likewise: a bounded sample.
 
     Texts are encoded once; the written ids are dealt by ranges of doc_id, a repeated
     id being split by a number given when they were written, and each range is
@@ -232,11 +238,12 @@ def write_token_shards(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     coded = rows.mapInArrow(encode, "doc_id long, ids binary")
     coded = work.save(coded.select("*", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("u")), "ids")
-    total = coded.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]
+    n, total = coded.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()
     windows = F.greatest(F.floor((F.length("ids") - sample_bytes) / width) + 1, F.lit(1))
     place = (F.pmod("h", windows) * width + 1).cast("int")
-    drawn = coded.select(F.xxhash64("doc_id", "h").alias("draw"), "u", F.substring("ids", place, F.lit(sample_bytes)).alias("part"))
-    sample = [bytes(r.part) for r in drawn.orderBy("draw", "u").limit(sample_rows).collect()]
+    drawn = coded.where(F.pmod(F.xxhash64("u", "h"), F.lit(max(n, 1))) < sample_rows)
+    drawn = drawn.select("doc_id", "u", F.substring("ids", place, F.lit(sample_bytes)).alias("part"))
+    sample = [bytes(r.part) for r in sorted(drawn.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.u))]
     dictionary = build_dictionary(sample, dictionary_bytes, 256)
     folder = work.at("shards")
 
