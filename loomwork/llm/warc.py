@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import files
+from loomwork.llm.zdict import build_dictionary, load_dictionary
 from loomwork.workspace import Workspace
 
 SKIPPABLE = 0x184D2A5D
@@ -27,6 +28,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 _TAG = 0x6C6F6F6D7761
 _NULL_TAG = _TAG + 1
+#: More payloads than this cannot each hold as large a share of the rows.
+_HOT = 4096
 
 
 def record_uuid(page_id: int | None) -> str:
@@ -82,16 +85,12 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def archive(records: list[bytes], dictionary_bytes: int, level: int) -> bytes:
-    """The archive's bytes: dictionary frame, then a frame a record."""
-    raw = b""
-    if len(records) >= 16 and sum(map(len, records)) >= 8 * dictionary_bytes:
-        try:
-            raw = zstandard.train_dictionary(dictionary_bytes, records, k=512, d=8).as_bytes()
-        except zstandard.ZstdError:
-            raw = b""
-    packed = zstandard.ZstdCompressor(level=level).compress(raw) if raw else b""
-    loaded = zstandard.ZstdCompressionDict(raw) if raw else None
-    zstd = zstandard.ZstdCompressor(level=level, dict_data=loaded, write_content_size=True)
+    """The archive's bytes: a dictionary of its own records, then a frame a record.
+
+    Few or small records get a smaller dictionary, or one that is raw content."""
+    raw = build_dictionary(records, dictionary_bytes, 512)
+    packed = zstandard.ZstdCompressor(level=level).compress(raw)
+    zstd = zstandard.ZstdCompressor(level=level, dict_data=load_dictionary(raw), write_content_size=True)
     return b"".join([struct.pack("<II", SKIPPABLE, len(packed)), packed, *map(zstd.compress, records)])
 
 
@@ -100,8 +99,8 @@ def records_of(data: bytes) -> Iterator[bytes]:
     magic, n = struct.unpack_from("<II", data)
     if magic != SKIPPABLE:
         raise ValueError("no leading dictionary frame")
-    raw = zstandard.ZstdDecompressor().decompress(data[8 : 8 + n]) if n else b""
-    zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+    raw = zstandard.ZstdDecompressor().decompress(data[8 : 8 + n])
+    zstd = zstandard.ZstdDecompressor(dict_data=load_dictionary(raw))
     rest = memoryview(data)[8 + n :]
     while len(rest):
         one = zstd.decompressobj()
@@ -130,17 +129,22 @@ def write_archives(
     ).withColumn("key", F.sha2("payload", 256))
     ids = rows.select("page_id", "key", F.length("payload").cast("long").alias("n"))
     total, count = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    copies = (
+    copies = work.save(
         ids.where(F.col("n") >= min_revisit_bytes)
         .groupBy("key")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c"))
-        .where("c > 1")
-        .select(F.col("key").alias("copied"), "first")
+        .where("c > 1"),
+        "copies",
     )
-    marked = rows.join(copies, F.col("key") == F.col("copied"), "left").select(
-        "page_id", "url", "payload", "first",
-        F.expr("copied IS NOT NULL AND first IS NOT NULL AND NOT page_id <=> first").alias("revisit"),
-    )
+    # payloads of more than count / _HOT rows are fewer than _HOT, so their list is broadcast;
+    # their rows match nothing in the second join and are spread there by page
+    is_hot = F.col("c") * _HOT > count
+    hot = F.broadcast(copies.where(is_hot).select(F.col("key").alias("hot"), F.col("first").alias("hot_first")))
+    cold = copies.where(~is_hot).select(F.col("key").alias("cold"), F.col("first").alias("cold_first"))
+    spread = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    marked = rows.join(hot, F.col("key") == F.col("hot"), "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("key")).otherwise(spread))
+    marked = marked.join(cold, F.col("key") == F.col("cold"), "left").withColumn("first", F.coalesce("hot_first", "cold_first"))
+    marked = marked.select("page_id", "url", "payload", "first", F.expr("first IS NOT NULL AND NOT page_id <=> first").alias("revisit"))
     parts = max(1, -(-(total + 512 * count) // (4 * archive_bytes)))
     folder = work.at("archives")
 
