@@ -39,15 +39,15 @@ class GraphPlan:
 
 
 class Graph:
-    """A searchable graph over one shard's vectors."""
+    """A searchable graph over one shard's vectors, held about their mean."""
 
     def __init__(self, vectors: np.ndarray, edges: np.ndarray, entries: np.ndarray):
-        self.x, self.edges, self.entries = vectors.astype(np.float32), edges, entries
-        self.norm = (self.x * self.x).sum(1)
+        self.middle = vectors.mean(0, dtype=np.float64)
+        self.x, self.edges, self.entries = (vectors - self.middle).astype(np.float32), edges, entries
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query the beam's node numbers (-1: none) and squared distances, nearest first."""
-        q = queries.astype(np.float32)
+        q = (queries - self.middle).astype(np.float32)
         b, n = len(q), len(self.x)
         rows = np.arange(b)[:, None]
         start = np.broadcast_to(self.entries, (b, len(self.entries)))
@@ -73,8 +73,8 @@ class Graph:
         return ids, dist
 
     def _distance(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        inner = np.matmul(self.x[ids], q[:, :, None])[:, :, 0]
-        return self.norm[ids] - 2 * inner + (q * q).sum(1)[:, None]
+        apart = self.x[ids] - q[:, None, :]
+        return np.einsum("bkd,bkd->bk", apart, apart)
 
     @staticmethod
     def _nearest(ids: np.ndarray, dist: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +89,9 @@ def _prune(x: np.ndarray, points: np.ndarray, ids: np.ndarray, degree: int, alph
     out = np.full((len(points), degree), -1, np.int32)
     rows = np.arange(len(points))
     alive = (ids >= 0) & (ids != points[:, None])
-    v = x[np.where(ids >= 0, ids, 0)]
-    norm = (v * v).sum(2)
-    apart = norm[:, :, None] + norm[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
-    p = x[points]
-    dist = norm - 2 * np.matmul(v, p[:, :, None])[:, :, 0] + (p * p).sum(1)[:, None]
+    v = x[np.where(ids >= 0, ids, 0)] - x[points][:, None, :]  # as seen from the point: no large numbers to cancel
+    dist = np.einsum("bkd,bkd->bk", v, v)
+    apart = dist[:, :, None] + dist[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
     for r in range(degree):
         if not alive.any():
             break
@@ -107,17 +105,19 @@ def _prune(x: np.ndarray, points: np.ndarray, ids: np.ndarray, degree: int, alph
 
 def build(vectors: np.ndarray, plan: GraphPlan, seed: int = 7) -> Graph:
     """The graph of distinct vectors; every node can be reached from its entries."""
-    n, x = len(vectors), vectors.astype(np.float32)
+    n = len(vectors)
     edges = np.full((n, plan.degree), -1, np.int32)
-    middle = int(np.argmin(((x - x.mean(0)) ** 2).sum(1)))
-    graph = Graph(x, edges, np.array([middle]))
+    graph = Graph(vectors, edges, np.zeros(1, np.int64))
+    x = graph.x
+    middle = int(np.argmin((x * x).sum(1)))
+    graph.entries = np.array([middle])
     order = np.random.Generator(np.random.PCG64(seed)).permutation(n)
     order = order[order != middle]
     at, inserted = 0, 1
     while at < len(order):
         points = order[at : at + min(plan.batch, inserted)]
         at, inserted = at + len(points), inserted + len(points)
-        ids, _ = graph.search(x[points], plan.beam)
+        ids, _ = graph.search(vectors[points], plan.beam)
         edges[points] = _prune(x, points, ids.astype(np.int32), plan.degree, plan.alpha)
         back = edges[points]
         to, of = back[back >= 0], np.repeat(points, plan.degree)[(back >= 0).ravel()]
@@ -148,7 +148,7 @@ def build(vectors: np.ndarray, plan: GraphPlan, seed: int = 7) -> Graph:
                 stack = near[~reached[near]].tolist()
         more = next((i for i in lost if not reached[i]), None)
         if more is None:
-            return Graph(x, edges, np.array(entries))
+            return Graph(vectors, edges, np.array(entries))
         entries.append(more)
         stack = [more]
 
@@ -226,7 +226,6 @@ def nearest_neighbours(
                 qid = np.array([q["id"] for q in row.q], np.int64)
                 q = np.array([q["v"] for q in row.q], np.float64)
                 found, _ = graph.search(q, plan.search_beam)
-                found = found[:, : n + 5]
                 good = found >= 0
                 score = np.sqrt(((x[np.where(good, found, 0)] - q[:, None, :]) ** 2).sum(2))
                 out = pd.DataFrame({"query_id": np.repeat(qid, found.shape[1]), "rep": ids[found].ravel(), "score": score.ravel()})
