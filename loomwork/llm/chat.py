@@ -28,8 +28,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 CONTROL = (OPEN, CLOSE, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL))
 _ESCAPE = re.compile(r"\\(.)", re.S)
-#: Characters after which a long conversation goes on in another row.
-_PIECE = 1 << 20
+#: Characters after which a long conversation goes on in another row, by default.
+PIECE_CHARS = 16 << 20
 
 
 def escape(text: str) -> str:
@@ -56,15 +56,14 @@ def reply_paths(messages: DataFrame, work: Workspace, top: int = 1) -> DataFrame
     messages; ties go to the smaller leaf.  A parent that is no message makes its
     child a root; messages on a cycle have no root and are on no path.
     """
-    ids = messages.select(F.col("id").alias("known"))
-    now = work.save(
-        messages.join(ids, F.col("parent") == F.col("known"), "left").select(
-            "id", F.col("known").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").cast("double").alias("total"),
-            F.coalesce("known", "id").alias("root"),
-        ),
-        "jump0",
-    )
-    parents = now.select(F.col("up").alias("p")).where("p IS NOT NULL")
+    told = messages.select("id", "parent", F.col("score").cast("double").alias("total"))
+    ids = told.select(F.col("id").alias("known"))
+    first = lambda up, root: ("id", up.alias("up"), F.lit(1).cast("long").alias("depth"), "total", root.alias("root"))
+    none = F.lit(None).cast(told.schema["id"].dataType)
+    roots = told.where("parent IS NULL").select(*first(none, F.col("id")))
+    others = told.where("parent IS NOT NULL").join(ids, F.col("parent") == F.col("known"), "left")
+    now = work.save(roots.unionByName(others.select(*first(F.col("known"), F.coalesce("known", "id")))), "jump0")
+    parents = now.where("up IS NOT NULL").select(F.col("up").alias("p"))
     leaves = now.join(parents, now["id"] == parents["p"], "left_anti").select(F.col("id").alias("leaf"))
     leaves = work.save(leaves, "leaves")
     rounds, left = 0, now.where("up IS NOT NULL").count()
@@ -74,13 +73,12 @@ def reply_paths(messages: DataFrame, work: Workspace, top: int = 1) -> DataFrame
             F.col("id").alias("i"), F.col("up").alias("u"), F.col("depth").alias("d"), F.col("total").alias("t"), F.col("root").alias("r")
         )
         rounds += 1
-        now = work.save(
-            now.join(other, F.col("up") == F.col("i"), "left").select(
-                "id", F.col("u").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"), F.coalesce("r", "root").alias("root"),
-            ),
-            f"jump{rounds}",
+        # only messages that have not met their root take part: no join on a null key
+        going = now.where("up IS NOT NULL").join(other, F.col("up") == F.col("i")).select(
+            "id", F.col("u").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total"),
+            F.col("r").alias("root"),
         )
+        now = work.save(now.where("up IS NULL").unionByName(going), f"jump{rounds}")
         left = now.where("up IS NOT NULL").count()
     best = Window.partitionBy("root").orderBy(F.desc("total"), "id")
     chosen = (
@@ -123,12 +121,13 @@ def chain_parents(rows: DataFrame, conv: str, order: list[str], work: Workspace)
     return dealt.join(links.select("id", F.col("o").alias("parent")), "id")
 
 
-def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
+def format_paths(paths: DataFrame, messages: DataFrame, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """One conversation a path: path, piece (from 0), conv_id, text, and the loss mask as
     starts and ends of the assistant's texts within the piece.
 
-    Input messages: id, conv_id, role, text.  Rows stream in path order; a long
-    conversation goes on in further pieces, cut between turns.
+    Input messages: id, conv_id, role, text.  Rows stream in path order; a conversation
+    of over ``piece_chars`` goes on in further pieces, cut between turns, so that a task
+    holds a piece and no more; ``whole_conversations`` makes one row of them.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,7 +139,7 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
         for frame in frames:
             out = []
             for path, c, role, text in zip(frame["path"], frame["conv"], frame["role"], frame["text"], strict=True):
-                if path != own or size >= _PIECE:
+                if path != own or size >= piece_chars:
                     if own is not None:
                         out.append(flush())
                     piece = piece + 1 if path == own else 0
@@ -167,6 +166,17 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
+def whole_conversations(formatted: DataFrame) -> DataFrame:
+    """One row a path: path, conv_id, text and mask of all its pieces together.  A row holds
+    a whole conversation, however long."""
+    size = "aggregate(slice(p, 1, i), 0L, (n, x) -> n + length(x.text))"
+    moved = lambda name: F.expr(f"flatten(transform(p, (x, i) -> transform(x.{name}, at -> at + {size})))").alias(name)
+    pieces = formatted.groupBy("path").agg(
+        F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("piece", "text", "starts", "ends"))).alias("p")
+    )
+    return pieces.select("path", "conv_id", F.array_join("p.text", "").alias("text"), moved("starts"), moved("ends"))
+
+
 def read_formatted(formatted: DataFrame) -> DataFrame:
     """Digests of formatted conversations, from their texts and masks alone: conv_id, n_turns,
     turns_sha256, loss_chars, loss_sha256, formatted_chars."""
