@@ -110,3 +110,67 @@ c(node, root) AS (SELECT DISTINCT doc_id, doc_id FROM k UNION SELECT e.b, c.root
 m AS (SELECT node, min(root) AS root FROM c GROUP BY node)
 SELECT k.doc_id, k.n::BIGINT AS n_shingles, CASE WHEN k.n > 0 THEN m.root ELSE k.doc_id END AS component_id, k.n = 0 OR m.root = k.doc_id AS kept FROM k JOIN m ON m.node = k.doc_id
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+c AS (SELECT item, least(len(w), 10) AS len, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda a: array_to_string(w[a : a + least(len(w), 10) - 1], ' '))) AS s FROM i WHERE len(w) > 0),
+l AS (SELECT DISTINCT len FROM c),
+o AS (
+  SELECT row_id, a, len, array_to_string(w[a : a + len - 1], ' ') AS s
+  FROM (SELECT row_id, w, len, unnest(range(1, len(w) - len + 2)) AS a FROM d, l WHERE len(w) >= len)),
+h AS (SELECT DISTINCT row_id, a, o.len, item FROM o JOIN c ON o.s = c.s AND o.len = c.len),
+n AS (SELECT row_id, count(*) AS n_hit FROM (SELECT DISTINCT row_id, unnest(range(a, a + len)) AS p FROM h) GROUP BY row_id),
+t AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_id, item FROM h) GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (row_id) LEFT JOIN t USING (row_id)
+"""
+
+
+def _assigned(n: int) -> str:
+    """Nearest entries of every part under codebook ``n``: row, part, the part, [distance, entry]."""
+    return f"""a{n} AS (
+  SELECT r, p.part, any_value(x) AS x, min([list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, k]) AS best
+  FROM p JOIN c{n} ON p.part = c{n}.part GROUP BY r, p.part)"""
+
+
+def _averaged(n: int) -> str:
+    """The codebook after codebook ``n``."""
+    return f"""s{n} AS (
+  SELECT part, k, list((s - (s % n + n) % n) // n ORDER BY i) AS c
+  FROM (SELECT part, best[2] AS k, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT part, best, x, unnest(range(1, len(x) + 1)) AS i FROM a{n}) GROUP BY ALL) GROUP BY part, k),
+c{n + 1} AS (SELECT c{n}.part, c{n}.k, coalesce(s{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN s{n} ON c{n}.part = s{n}.part AND c{n}.k = s{n}.k)"""
+
+
+OP12 = f"""
+WITH e AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, vec_id, label, v
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+p AS (SELECT r, part, v[len(v) // 16 * part + 1 : len(v) // 16 * (part + 1)] AS x FROM (SELECT r, v, unnest(range(16)) AS part FROM e)),
+c0 AS (SELECT part, r - 1 AS k, x AS c FROM p WHERE r <= 64),
+{_assigned(0)}, {_averaged(0)}, {_assigned(1)}, {_averaged(1)}, {_assigned(2)},
+o AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a2 GROUP BY r),
+f AS (SELECT e.vec_id, label, code, error FROM o JOIN e USING (r)),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM f GROUP BY label),
+b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM f JOIN l ON f.label IS NOT DISTINCT FROM l.label, b
+"""
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS query, item_id, {_TERMS} AS w FROM benchmark),
+q AS (SELECT DISTINCT query, term FROM (SELECT query, unnest(w) AS term FROM i)),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+p AS (SELECT row_id, term, n, count(*) AS tf FROM (SELECT row_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+t AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s WHERE term IN (SELECT term FROM q) GROUP BY term),
+x AS (SELECT query, row_id, sum(t.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN p USING (term), s GROUP BY query, row_id),
+r AS (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM x JOIN d USING (row_id) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN i USING (query) WHERE rank <= 10
+"""

@@ -13,6 +13,8 @@ from loomwork.llm import oracles
 from loomwork.llm.ann import nearest_neighbours
 from loomwork.llm.bpe import encode_documents
 from loomwork.llm.chat import chat_conversations
+from loomwork.llm.contamination import decontaminate
+from loomwork.llm.impact import search
 from loomwork.llm.langid import fit, held_out, predict
 from loomwork.llm.minhash import near_duplicates
 from loomwork.llm.mixing import mix
@@ -20,6 +22,7 @@ from loomwork.llm.quality import distribution_quality
 from loomwork.llm.sharding import histogram_shards
 from loomwork.llm.text import n_words
 from loomwork.llm.tokenbin import word_token_file
+from loomwork.llm.vafile import vector_codes
 from loomwork.llm.warc import warc_archive
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -96,12 +99,25 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vafile_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_distribution_quality, op2_warc_dictionary, op3_language_id, op4_token_shards, op5_byte_bpe,
             op6_chat_reply_trees, op7_minhash_neardup, op8_graph_ann, op9_pivotal_mix, op10_histogram_shards,
+            op11_prefix_decontamination, op12_vafile_codes, op13_impact_search,
         )
     }
 
@@ -110,4 +126,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_distribution_quality": oracles.OP1, "op2_warc_dictionary": oracles.OP2,
         "op6_chat_reply_trees": oracles.OP6, "op7_minhash_neardup": oracles.OP7,
+        "op11_prefix_decontamination": oracles.OP11, "op12_vafile_codes": oracles.OP12, "op13_impact_search": oracles.OP13,
     }
