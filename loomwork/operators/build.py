@@ -5,6 +5,7 @@ Draws are by MD5 of seed and keys, so that every SQL engine draws the same.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,45 +40,65 @@ def pool_sizes(pool: DataFrame) -> DataFrame:
     return sets.agg(F.count(F.lit(1)).alias("n"))
 
 
-def distractors(questions: DataFrame, pool: DataFrame, seed: int, cap: int = 512) -> DataFrame:
+def step_primes(n: int = 64, above: int = 1 << 31) -> list[int]:
+    """The first ``n`` primes above a bound: none of them divides a smaller length, so steps of one go round a list of any such length, meeting every place once."""
+    small, found, x = [2, 3, 5, 7], [], above | 1  # these bases decide all numbers below 3.2e9
+
+    def prime(m: int) -> bool:
+        if any(m % p == 0 for p in small):
+            return False
+        r = ((m - 1) & -(m - 1)).bit_length() - 1
+        return all((y := pow(p, (m - 1) >> r, m)) in (1, m - 1) or any((y := y * y % m) == m - 1 for _ in range(r - 1)) for p in small)
+
+    while len(found) < n:
+        if prime(x):
+            found.append(x)
+        x += 2
+    return found
+
+
+def distractors(questions: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
     """Up to ``need`` further options for each question: qid, place, option.
 
     Questions: qid, macro_cat, source, options, gold, need.  Tiers: options of the gold's
     type in the question's own subject, then in its macro category, then of any type there;
-    a tier with need + 4 options of the gold's length or more keeps to these.  A tier's
-    options are drawn from its first ``cap`` by hash, numbered, and a question takes as many
-    as it can use from a hashed place on, round the end.  So every question meets a bounded
-    number of options, by equi-joins.  Options equal to its own but for case are passed over.
+    a tier with need + 4 options of the gold's length or more keeps to these.  Every list
+    is numbered whole in hash order, options that differ in case as one.  A question goes
+    through each of its lists in an order of its own, a full cycle of the list by a hashed
+    start and a hashed step that has no factor in common with the list's length; so every
+    option of a list is as likely as any other, whatever the list's length.  It looks no
+    further than it can need: its own options, which are passed over, and ``need`` more.
+    So it meets a bounded number of options, by equi-joins on list and place.
     """
+    work = Workspace(questions.sparkSession, "distractors")
+    blank = F.lit("")
+    name = lambda tier, *keys: F.concat_ws("|", F.lit(str(tier)), *(F.coalesce(k, blank) for k in keys))
+    tiers = [["macro_cat", "subject", "type"], ["macro_cat", "type"], ["macro_cat"]]
+    keyed = lambda tier, extra=(): name(f"{tier}{'n' if extra else 'w'}", *map(F.col, [*tiers[tier], *extra]))
+    every = [keyed(t, extra) for t in range(len(tiers)) for extra in (("bucket",), ())]
+    listed = pool.withColumn("bucket", text.length_bucket(F.col("option"))).select("option", F.explode(F.array(*every)).alias("list"))
+    listed = listed.groupBy("list", F.lower("option").alias("low")).agg(F.min("option").alias("option"))
+    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), "low")), F.col("low")]
+    listed = work.save(numbered(listed, ["list"], order, "at", "size"), "lists")
+    sizes = work.save(listed.where("at = 1").select("list", "size"), "sizes")
     q = questions.select(
         "qid", "macro_cat", F.col("source").alias("subject"), text.option_type(F.col("gold")).alias("type"), text.length_bucket(F.col("gold")).alias("bucket"),
         "need", F.transform("options", lambda o: F.lower(F.trim(o))).alias("own"),
-    ).withColumn("take", F.col("need") + F.size("own"))
-    pool = pool.withColumn("bucket", text.length_bucket(F.col("option")))
-    tiers = [["macro_cat", "subject", "type"], ["macro_cat", "type"], ["macro_cat"]]
-    found = []
-    for tier, keys in enumerate(tiers):
-        sized = []
-        for by in ([*keys, "bucket"], keys):
-            listed = rank_in(pool.dropDuplicates([*by, "option"]), by, [F.md5(F.concat_ws("|", F.lit(str(seed)), "option")), F.col("option")], cap, "at")
-            sized.append((by, listed, listed.groupBy(*by).agg(F.max("at").alias("size"))))
-        (narrow, near, near_size), (wide, all_, all_size) = sized
-        chosen = q.join(near_size.withColumnRenamed("size", "near"), narrow, "left").join(all_size.withColumnRenamed("size", "all"), wide)
-        enough = F.coalesce(F.col("near") >= F.col("need") + 4, F.lit(False))
-        chosen = chosen.withColumn("size", F.when(enough, F.col("near")).otherwise(F.col("all"))).withColumn("enough", enough)
-        start = offset(F.col("size"), F.lit(seed), F.col("qid"), F.lit(tier))
-        places = F.expr("sequence(0L, cast(least(take, size) - 1 AS bigint))")
-        asked = chosen.withColumn("start", start).select("*", F.explode(places).alias("step")).withColumn("at", ((F.col("start") + F.col("step")) % F.col("size") + 1).cast("int"))
-        for by, listed, flag in ((narrow, near, True), (wide, all_, False)):
-            met = asked.where(F.col("enough") == flag).join(listed.select(*by, "at", "option"), [*by, "at"])
-            found.append(met.select("qid", "need", "own", F.lit(tier).alias("tier"), "step", "option"))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    every = every.where(~F.array_contains("own", F.lower("option")))
-    first = every.groupBy("qid", "need", F.lower("option").alias("_l")).agg(F.min(F.struct("tier", "step", "option")).alias("x"))
-    order = Window.partitionBy("qid").orderBy("x")
-    return first.withColumn("place", F.row_number().over(order)).where("place <= need").select("qid", "place", F.col("x.option").alias("option"))
+    )
+    asked = q.select("qid", "need", "own", F.explode(F.array(*(F.struct(F.lit(t).alias("tier"), keyed(t, ("bucket",)).alias("narrow"), keyed(t).alias("wide")) for t in range(len(tiers))))).alias("t")).select("*", "t.*").drop("t")
+    near = sizes.select(F.col("list").alias("narrow"), F.col("size").alias("near"))
+    asked = asked.join(near, "narrow", "left").join(sizes.select(F.col("list").alias("wide"), F.col("size").alias("all")), "wide")
+    enough = F.coalesce(F.col("near") >= F.col("need") + 4, F.lit(False))
+    asked = asked.select("qid", "need", "own", "tier", F.when(enough, F.col("narrow")).otherwise(F.col("wide")).alias("list"), F.when(enough, F.col("near")).otherwise(F.col("all")).alias("size"))
+    primes = F.array(*(F.lit(p).cast("long") for p in step_primes()))
+    start, which = (offset(n, F.lit(seed), F.col("qid"), F.col("tier"), F.lit(word)) for n, word in ((F.col("size"), "start"), (F.lit(64), "step")))
+    places = F.expr("sequence(0L, least(need + size(own), size) - 1L)")
+    met = asked.withColumn("start", start).withColumn("by", F.get(primes, which.cast("int"))).select("*", F.explode(places).alias("step"))
+    met = met.withColumn("at", F.expr("(start + step * (by % size)) % size + 1")).join(listed.select("list", "at", "low", "option"), ["list", "at"])
+    met = met.where(~F.array_contains("own", F.col("low")))
+    first = met.groupBy("qid", "need", "low").agg(F.min(F.struct("tier", "step", "option")).alias("x"))
+    turn = Window.partitionBy("qid").orderBy("x")
+    return first.withColumn("place", F.row_number().over(turn)).where("place <= need").select("qid", "place", F.col("x.option").alias("option"))
 
 
 def expand(questions: DataFrame, extra: DataFrame, seed: int) -> DataFrame:
@@ -147,35 +168,56 @@ def quota_sample(df: DataFrame, total: int, quotas: dict[str, float], augmented_
     return chosen.unionByName(rest).select(*df.columns, "filled")
 
 
+def choice_shares(low: int, high: int, peak: float, shape: int, edge: float) -> dict[int, float]:
+    """The share of each number of choices: a gamma peak and a flat part."""
+    weight = {k: k ** (shape - 1) * math.exp(-k * (shape - 1) / peak) for k in range(low, high + 1)}
+    return {k: (1 - edge) * w / sum(weight.values()) + edge / len(weight) for k, w in weight.items()}
+
+
+def rebalance_spans(own: dict[int, int], group: str | None, share: dict[int, float], seed: int) -> list[tuple[int, int, int, int]]:
+    """How many rows of each number of choices take each target: (has, first place, last place, target).
+
+    From the largest target down, each takes its share of all rows evenly over the rows
+    that have choices enough and are not taken: the rows are thought in line by what they
+    have, and every (eligible / wanted)-th is taken from a hashed place on, so each is as
+    likely as any other.  In a kind it is the next rows in hash order that are taken."""
+    total, used, spans = sum(own.values()), dict.fromkeys(own, 0), []
+    for k in sorted(share, reverse=True):
+        left = {h: own[h] - used[h] for h in sorted(own) if h >= k and own[h] > used[h]}
+        eligible = sum(left.values())
+        want = min(int(share[k] * total), eligible)
+        if not want:
+            continue
+        digest = hashlib.md5(f"{seed}|{group or ''}|{k}".encode()).hexdigest()
+        start, at, before = int(int(digest[:8], 16) / 2**32 * eligible), 0, 0
+        for has, n in left.items():
+            at += n
+            upto = (at * want - start + eligible - 1) // eligible
+            if upto > before:
+                spans.append((has, used[has], used[has] + upto - before, k))
+                used[has] += upto - before
+                before = upto
+    return spans
+
+
 def rebalance(df: DataFrame, by: str, seed: int, low: int = 2, high: int = 20, peak: float = 4.0, shape: int = 4, edge: float = 0.35) -> DataFrame:
     """Questions with as many choices as a mixture of a gamma peak and a flat part wants, by ``by``.
 
-    Input: idx, ``by``, choices (wrong ones).  From the largest count down, each count takes
-    its share of the group's rows among those that have choices enough and are not taken,
-    in hash order; repeated choices count once.  Output: idx, ``by``, target, kept and
-    ignored choices.  A row's place among those with as many choices tells its turn, so one
-    ordered pass over the counts of each group (high - low + 1 numbers) plans all."""
-    weight = {k: k ** (shape - 1) * math.exp(-k * (shape - 1) / peak) for k in range(low, high + 1)}
-    flat = 1 / len(weight)
-    share = {k: (1 - edge) * w / sum(weight.values()) + edge * flat for k, w in weight.items()}
+    Input: idx, ``by``, choices (wrong ones; repeated ones count once).  From the largest
+    number of choices down, each takes its share of the group's rows, drawn evenly among
+    those that have choices enough and are not taken (see ``rebalance_spans``); rows left
+    over at the end are in no result.  Output: idx, ``by``, target, kept and ignored
+    choices.  Only counts by group and number of choices reach the driver."""
+    share = choice_shares(low, high, peak, shape, edge)
     rows = df.withColumn("choices", F.array_distinct("choices")).withColumn("has", F.least(F.size("choices") + 1, F.lit(high)))
     order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("idx").cast("string"))), F.col("idx")]
-    counts = {}
+    counts: dict[str | None, dict[int, int]] = {}
     for r in rows.groupBy(by, "has").count().collect():  # a row a group and count
         counts.setdefault(r[by], {})[r["has"]] = r["count"]
-    plan = []
-    for group, own in counts.items():
-        total, used = sum(own.values()), dict.fromkeys(own, 0)
-        for k in range(high, low - 1, -1):
-            want = int(share[k] * total)
-            for has in sorted((h for h in own if h >= k), reverse=True):
-                n = min(want, own[has] - used[has])
-                if n:
-                    plan.append((group, has, used[has], used[has] + n, k))
-                    used[has], want = used[has] + n, want - n
-    spans = df.sparkSession.createDataFrame(plan, f"{by} string, has int, low long, high long, target int")
-    placed = numbered(rows, [by, "has"], order, "at", "n").join(F.broadcast(spans), [by, "has"])
-    placed = placed.where("at > low AND at <= high")
+    plan = [(group, *span) for group, own in counts.items() for span in rebalance_spans(own, group, share, seed)]
+    spans = df.sparkSession.createDataFrame(plan, "group_ string, has_ int, low_ long, high_ long, target int")
+    placed = numbered(rows, [by, "has"], order, "at", "n")
+    placed = placed.join(F.broadcast(spans), F.col(by).eqNullSafe(F.col("group_")) & (F.col("has") == F.col("has_")) & (F.col("at") > F.col("low_")) & (F.col("at") <= F.col("high_")))
     kept = F.slice("choices", F.lit(1), F.col("target") - 1)
     return placed.select("idx", by, "target", kept.alias("kept"), F.slice("choices", F.col("target"), F.size("choices")).alias("ignored"))
 

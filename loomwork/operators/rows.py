@@ -80,24 +80,32 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], rank: str = "ran
 
     Rows are dealt by ranges of group and order and written; a row's place is its place in
     its range plus the rows of its group in the ranges before, a small table of a row a
-    range and group.  A column range is bounded by the session's shuffle partitions."""
+    range and group.  A column range is bounded by the session's shuffle partitions.  The
+    input's columns keep their names and values, whatever they are called; ``rank`` and
+    ``total`` must be new."""
+    if {rank, total} & set(df.columns):
+        raise ValueError(f"{rank} or {total} is a column already")
     spark = df.sparkSession
     work = Workspace(spark, "numbered")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.select("*", *(c.alias(f"_o{i}") for i, c in enumerate(order)))
-    keys = [F.col(f"_o{i}") for i in range(len(order))]
-    dealt = work.save(keyed.repartitionByRange(n, *map(F.col, by), *keys).withColumn("_p", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_n"))
+    own_ = "_n"
+    while any(c.startswith(own_) for c in [*df.columns, rank, total]):
+        own_ += "_"
+    part, place, many, before_ = f"{own_}p", f"{own_}at", f"{own_}n", f"{own_}before"
+    keyed = df.select("*", *(c.alias(f"{own_}o{i}") for i, c in enumerate(order)))
+    keys = [F.col(f"{own_}o{i}") for i in range(len(order))]
+    dealt = work.save(keyed.repartitionByRange(n, *map(F.col, by), *keys).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(part, *by).agg(F.count(F.lit(1)).alias(many))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(total, F.sum("_n").over(group))
-    counts = counts.select(F.col("_p").alias("_q"), *(F.col(b).alias(f"_b{i}") for i, b in enumerate(by)), "_before", total)
-    same = F.col("_p") == F.col("_q")
+    before = group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(before_, F.coalesce(F.sum(many).over(before), F.lit(0))).withColumn(total, F.sum(many).over(group))
+    counts = counts.select(F.col(part).alias(f"{own_}q"), *(F.col(b).alias(f"{own_}b{i}") for i, b in enumerate(by)), before_, total)
+    same = F.col(part) == F.col(f"{own_}q")
     for i, b in enumerate(by):
-        same = same & F.col(b).eqNullSafe(F.col(f"_b{i}"))
-    own = F.row_number().over(Window.partitionBy("_p", *by).orderBy(*keys))
-    placed = dealt.withColumn(rank, own.cast("long")).join(counts, same)
-    return placed.select(*df.columns, (F.col(rank) + F.col("_before")).alias(rank), total)
+        same = same & F.col(b).eqNullSafe(F.col(f"{own_}b{i}"))
+    own = F.row_number().over(Window.partitionBy(part, *by).orderBy(*keys))
+    placed = dealt.withColumn(place, own.cast("long")).join(counts, same)
+    return placed.select(*df.columns, (F.col(place) + F.col(before_)).alias(rank), total)
 
 
 def split_at(df: DataFrame, seed: int, key: str, cuts: list[tuple[str, float]], last: str, by: list[str] | None = None) -> DataFrame:

@@ -17,19 +17,16 @@ def mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem").join(
         load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey"
     )
-    order = F.struct(*LINE_ORDER)
-    options = lines.groupBy("l_orderkey", "p_name").agg(F.min(order).alias("first"))
-    options = options.groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("first", "p_name"))), lambda x: x["p_name"]).alias("options")
-    )
-    gold = lines.groupBy("l_orderkey").agg(
-        F.min_by("p_name", F.struct(-F.col("l_extendedprice"), *LINE_ORDER)).alias("gold")
+    line = F.struct(*LINE_ORDER, "p_name")
+    per = lines.groupBy("l_orderkey").agg(
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["p_name"])).alias("options"),
+        F.min_by("p_name", F.struct(-F.col("l_extendedprice"), *LINE_ORDER)).alias("gold"),
     )
     orders = load(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("macro_cat"), F.col("o_orderstatus").alias("source")
     )
     return (
-        orders.join(options, "l_orderkey").join(gold, "l_orderkey")
+        orders.join(per, "l_orderkey")
         .select(
             F.col("l_orderkey").alias("qid"), F.concat(F.lit("Order "), F.col("l_orderkey").cast("string")).alias("question"),
             "options", "gold", (F.array_position("options", F.col("gold")) - 1).cast("int").alias("gold_idx"),

@@ -64,24 +64,20 @@ def _unit_sql(*parts: str) -> str:
     return f"(('0x' || substr(md5({' || chr(124) || '.join(parts)}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-def _distractor_sql(source: str, seed: int, cap: int = 512) -> str:
+def _distractor_sql(source: str, seed: int) -> str:
     """Tables that end in ``extra`` (qid, place, option) for ``source`` (qid, macro_cat, source, options, gold, need)."""
-    out = [f"""q AS (SELECT qid, macro_cat, source AS subject, {_type('gold')} AS type, {_bucket('gold')} AS bucket, need, list_transform(options, lambda o: lower(trim(o))) AS own, need + len(options) AS take FROM {source})"""]
-    met = []
-    for t, keys in enumerate((["macro_cat", "subject", "type"], ["macro_cat", "type"], ["macro_cat"])):
-        for name, by in (("near", [*keys, "bucket"]), ("wide", keys)):
-            k = ", ".join(by)
-            out.append(f"{name}{t} AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY md5('{seed}|' || option), option) AS pos FROM (SELECT DISTINCT {k}, option FROM pool) QUALIFY pos <= {cap})")
-            out.append(f"{name}s{t} AS (SELECT {k}, max(pos) AS size FROM {name}{t} GROUP BY ALL)")
-        out.append(f"""ask{t} AS (SELECT *, floor({_unit_sql(f"'{seed}'", 'qid', f"'{t}'")} * size)::BIGINT AS start FROM (SELECT q.*, coalesce(n.size >= need + 4, false) AS enough, CASE WHEN coalesce(n.size >= need + 4, false) THEN n.size ELSE w.size END AS size
- FROM q LEFT JOIN nears{t} n USING ({', '.join([*keys, 'bucket'])}) JOIN wides{t} w USING ({', '.join(keys)})))""")
-        out.append(f"step{t} AS (SELECT *, (start + step) % size + 1 AS pos FROM (SELECT *, unnest(range(0, least(take, size))) AS step FROM ask{t}))")
-        for name, by, flag in (("near", [*keys, "bucket"], "enough"), ("wide", keys, "NOT enough")):
-            met.append(f"SELECT qid, need, own, {t} AS tier, step, option FROM step{t} JOIN {name}{t} USING ({', '.join(by)}, pos) WHERE {flag}")
-    out.append(f"met AS ({' UNION ALL '.join(met)})")
-    out.append("""first AS (SELECT qid, need, lower(option) AS l, min(struct_pack(tier := tier, step := step, option := option)) AS x FROM met WHERE NOT list_contains(own, lower(option)) GROUP BY ALL)""")
-    out.append("extra AS (SELECT qid, x.option AS option, row_number() OVER (PARTITION BY qid ORDER BY x) AS place FROM first QUALIFY place <= need)")
-    return ", ".join(out)
+    tiers = ["macro_cat || '|' || subject || '|' || type", "macro_cat || '|' || type", "macro_cat"]
+    names = ", ".join(x for t, k in enumerate(tiers) for x in (f"'{t}n|' || {k} || '|' || bucket", f"'{t}w|' || {k}"))
+    both = ", ".join(f"{{tier: {t}, narrow: '{t}n|' || {k} || '|' || bucket, wide: '{t}w|' || {k}}}" for t, k in enumerate(tiers))
+    primes = ", ".join(f"{p}::BIGINT" for p in build.step_primes())
+    return f"""pl AS (SELECT list, lower(option) AS low, min(option) AS option FROM (SELECT option, unnest([{names}]) AS list FROM pool) GROUP BY ALL),
+nl AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY md5('{seed}|' || low), low) AS pos, count(*) OVER (PARTITION BY list) AS size FROM pl), sz AS (SELECT DISTINCT list, size FROM nl),
+q AS (SELECT qid, macro_cat, source AS subject, {_type('gold')} AS type, {_bucket('gold')} AS bucket, need, list_transform(options, lambda o: lower(trim(o))) AS own FROM {source}),
+ask AS (SELECT qid, need, own, t.tier AS tier, CASE WHEN coalesce(n.size >= need + 4, false) THEN n.list ELSE w.list END AS list, CASE WHEN coalesce(n.size >= need + 4, false) THEN n.size ELSE w.size END AS size
+ FROM (SELECT *, unnest([{both}]) AS t FROM q) LEFT JOIN sz n ON n.list = t.narrow JOIN sz w ON w.list = t.wide),
+walk AS (SELECT *, floor({_unit_sql(f"'{seed}'", 'qid', 'tier', "'start'")} * size)::BIGINT AS start, [{primes}][1 + floor({_unit_sql(f"'{seed}'", 'qid', 'tier', "'step'")} * 64)::INT] % size AS by_, unnest(range(0, least(need + len(own), size))) AS step FROM ask),
+first AS (SELECT qid, need, low, min(struct_pack(tier := tier, step := step, option := option)) AS x FROM (SELECT *, (start + step * by_) % size + 1 AS pos FROM walk) JOIN nl USING (list, pos) WHERE NOT list_contains(own, low) GROUP BY ALL),
+extra AS (SELECT qid, x.option AS option, row_number() OVER (PARTITION BY qid ORDER BY x) AS place FROM first QUALIFY place <= need)"""
 
 
 def _shuffle_sql(options: str, seed: int) -> str:
@@ -175,13 +171,23 @@ def trivia_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.trivia_options(q.where(~garbage), 21)
 
 
+def _rebalance_sql(seed: int = 42, low: int = 2, high: int = 20, peak: float = 4.0, shape: int = 4, edge: float = 0.35) -> str:
+    """Tables that end in ``spans`` (lang, has, low, high, target) for ``rows_`` (idx, lang, choices, has): a step a target, the largest first."""
+    steps, spans = [f"u{high + 1} AS (SELECT lang, has, count(*) AS n, 0::BIGINT AS used, sum(count(*)) OVER (PARTITION BY lang)::BIGINT AS total FROM rows_ GROUP BY lang, has)"], []
+    for k, share in sorted(build.choice_shares(low, high, peak, shape, edge).items(), reverse=True):
+        steps.append(f"""e{k} AS (SELECT *, sum(n - used) OVER (PARTITION BY lang ORDER BY has)::BIGINT AS upto, sum(n - used) OVER (PARTITION BY lang)::BIGINT AS eligible FROM u{k + 1} WHERE has >= {k} AND n > used),
+w{k} AS (SELECT *, least(floor({share!r}::DOUBLE * total)::BIGINT, eligible) AS want, floor({_unit_sql(f"'{seed}'", "coalesce(lang, '')", f"'{k}'")} * eligible)::BIGINT AS start FROM e{k}),
+p{k} AS (SELECT lang, has, (upto * want - start + eligible - 1) // eligible - ((upto - (n - used)) * want - start + eligible - 1) // eligible AS picks FROM w{k} WHERE want > 0),
+u{k} AS (SELECT u.lang, u.has, n, used + coalesce(picks, 0) AS used, total FROM u{k + 1} u LEFT JOIN p{k} p ON u.has = p.has AND u.lang IS NOT DISTINCT FROM p.lang)""")
+        spans.append(f"SELECT u.lang, u.has, used AS low, used + picks AS high, {k} AS target FROM u{k + 1} u JOIN p{k} p ON u.has = p.has AND u.lang IS NOT DISTINCT FROM p.lang WHERE picks > 0")
+    return ", ".join([*steps, f"spans AS ({' UNION ALL '.join(spans)})"])
+
+
+@query(f"""WITH {MCQ_SQL}, rows_ AS (SELECT qid AS idx, macro_cat AS lang, list_filter(options, lambda o: o <> gold) AS choices, least(len(options), 20) AS has FROM mcq), {_rebalance_sql()},
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang, has ORDER BY md5('42|' || idx), idx) AS pos FROM rows_)
+SELECT idx, p.lang, target::INT AS target, array_to_string(choices[1 : target - 1], '|') AS kept, (len(choices) - target + 1)::INT AS ignored FROM placed p JOIN spans s ON s.lang = p.lang AND s.has = p.has AND pos > low AND pos <= high""")
 def rebalance_choice_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions with as many choices as a peaked mixture wants, by category; the plan is greedy, so it has no SQL."""
+    """Questions with as many choices as a peaked mixture wants, by category."""
     q = mcq(spark, sf_dir).select(F.col("qid").alias("idx"), F.col("macro_cat").alias("lang"), F.array_remove("options", F.col("gold")).alias("choices"))
     b = build.rebalance(q, "lang", 42)
     return b.select("idx", "lang", "target", F.array_join("kept", "|").alias("kept"), F.size("ignored").alias("ignored"))
-
-
-from loomwork.plans.catalog import QUERIES  # noqa: E402
-
-QUERIES["rebalance_choice_counts"] = rebalance_choice_counts
