@@ -57,24 +57,6 @@ def round_robin(df: DataFrame, stratum: str, order: list[Column], n: int) -> Dat
     return turn.orderBy("turn", stratum).limit(n)
 
 
-def block_topk(given: DataFrame, asked: DataFrame, similarity: Callable[[], Column], k: int, block: int = 256, slice_rows: int = 65_536) -> DataFrame:
-    """The k rows of ``given`` most similar to each of ``asked``, ties to the smaller vec_id.
-
-    The asked rows are packed into blocks of about ``block``; each block meets each of the
-    given rows' slices of about ``slice_rows`` by an equi-join, so neither side is broadcast
-    whole; a slice keeps its own first k for each query before they meet."""
-    blocks, slices = max(1, -(-asked.count() // block)), max(1, -(-given.count() // slice_rows))
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    packed = asked.groupBy(place("query_id", blocks).alias("block")).agg(F.collect_list(F.struct(*asked.columns)).alias("_q"))
-    packed = packed.select("block", "_q", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    sliced = given.withColumn("slice", place("vec_id", slices))
-    met = sliced.join(packed, "slice").select(*given.columns, "slice", F.explode("_q").alias("_one")).select("*", "_one.*").where("vec_id <> query_id")
-    scored = met.select("query_id", "vec_id", "slice", similarity().alias("similarity"))
-    order = [F.desc("similarity"), F.col("vec_id")]
-    first = rank_in(scored, ["query_id", "slice"], order, k).drop("rank")
-    return rank_in(first, ["query_id"], order, k).select("query_id", "vec_id", "similarity", "rank")
-
-
 def numbered(df: DataFrame, by: list[str], order: list[Column], rank: str = "rank", total: str = "total") -> DataFrame:
     """Adds each row's place (from 1) in its group and the group's size, with no group in one task.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import answers, text
 from loomwork.operators import rows
+from loomwork.operators.neighbours import dense_topk
 from loomwork.plans.bindings import ATTEMPTS_SQL, MCQ_SQL, attempts, load, mcq
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,8 +284,6 @@ def sft_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, vec_id, similarity, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM s) WHERE r <= 5""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("qn"))
-    return rows.block_topk(e, q, lambda: F.round(dot(F.col("v"), F.col("q")) / (F.col("norm") * F.col("qn")), 6), 5)
+    e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    near = dense_topk(e, e.where("id % 50 = 0"), 5)
+    return near.select(F.col("asked").alias("query_id"), F.col("id").alias("vec_id"), "similarity", "rank")
