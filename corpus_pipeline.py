@@ -11,7 +11,7 @@ and rows that repeat a doc_id are each judged by their own text.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm.bpe import encode_documents
@@ -29,11 +29,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR = NearDup(width=5, percent=80, bands=40, rows=4, slack=0.21)
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+#: A prediction of this score or more corrects a document's language.
+SURE = 0.95
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, sure: float = SURE) -> DataFrame:
     """Drops documents without a letter, for no language can be told: null and empty texts
-    among them, and every row of a table from which nothing can be learned."""
+    among them, and every row of a table from which nothing can be learned.  The others get
+    the predicted language where theirs is null or the prediction's score is ``sure`` or
+    more (over 1: never), so later stages judge them by the language they are written in."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs, model, carry=COLUMNS).where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    told = predict(docs, model, carry=COLUMNS).where(F.col("lang_pred") != UNKNOWN)
+    lang = F.when(F.col("lang").isNull() | (F.col("score") >= sure), F.col("lang_pred")).otherwise(F.col("lang"))
+    return told.withColumn("lang", lang).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +50,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return distribution_quality(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
+def row_hash(seed: int) -> Column:
+    """64 bits of all columns, nulls told from their absence."""
+    return F.xxhash64(F.lit(seed), *(x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """Rows with a number of their own, ``_key``, that only rows equal in every column share.
+
+    It is one 64-bit hash, and where two different rows have the same, as their second
+    hashes tell (a few pairs in 10**10 rows), that second hash.  So no row is mistaken for
+    another unless all 128 bits agree."""
+    keyed = docs.select(row_hash(1).alias("_key"), row_hash(2).alias("_other"), *COLUMNS)
+    clash = keyed.groupBy("_key").agg(F.min("_other").alias("lo"), F.max("_other").alias("hi")).where("lo <> hi").select("_key")
+    clash = Workspace(docs.sparkSession, "clash").save(clash, "keys")
+    if clash.count() == 0:
+        return keyed.drop("_other")
+    told = keyed.join(clash.withColumn("_clash", F.lit(True)), "_key", "left")
+    return told.withColumn("_key", F.when(F.col("_clash"), F.col("_other")).otherwise(F.col("_key"))).drop("_clash", "_other")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class of near copies, by five-word shingles at 80 %: that with
     the smallest doc_id, null last.  Rows equal in every column are one.  Texts without
-    words are linked with nothing and stay.  Rows are told apart by 64-bit hashes of all
-    their columns, so no copy of the texts is written."""
-    keyed = docs.select(F.xxhash64(*COLUMNS).alias("_key"), *COLUMNS)
+    words are linked with nothing and stay.  Rows are told apart by hashes of all their
+    columns (``keyed_rows``), so no copy of the texts is written."""
+    keyed = keyed_rows(docs)
     classes = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), NEAR)
     told = classes.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(keyed.select("_key", "doc_id").distinct(), "_key")
     first = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key"))
@@ -61,7 +89,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     every column are documents of their own, and their copies are taken together.
     Documents without words are taken never."""
     work = Workspace(spark, "taken")
-    keyed = docs.select(F.xxhash64(*COLUMNS).alias("_key"), *COLUMNS)
+    keyed = keyed_rows(docs)
     sized = keyed.select(F.col("_key").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
     groups = work.save(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")), "groups")
     rounded = round_groups(groups, MixPlan(), work)

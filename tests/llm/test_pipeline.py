@@ -1,5 +1,6 @@
 """Stages of the corpus pipeline: brute force, nulls, repeats, ties and empty tables."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -51,7 +52,42 @@ def rows_of(df):
 
 def test_language_id_keeps_rows_with_letters(spark, odd):
     expected = Counter(tuple(r) for r in odd.collect() if r.text and any(c.isalpha() for c in r.text))
-    assert rows_of(corpus_pipeline.language_id(spark, odd, "")) == expected
+    assert rows_of(corpus_pipeline.language_id(spark, odd, "", sure=2.0)) == expected  # no lang is null here
+    told = rows_of(corpus_pipeline.language_id(spark, odd, ""))
+    assert Counter((r[0], r[1]) for r in told.elements()) == Counter((r[0], r[1]) for r in expected.elements())
+
+
+def test_predicted_language_decides_what_the_rules_keep(spark):
+    words = {"en": "the of and to in is that it was for".split(), "de": "der die und das ist nicht ein von mit auf".split()}
+    rng = random.Random(7)
+    prose = lambda lang, i: " ".join(f"{rng.choice(words[lang])} {lang}{rng.randrange(50)}" for _ in range(120))
+    rows = [(i, prose(lang, i), lang, "s", 1) for i in range(200) for lang in [("en", "de")[i % 2]]]
+    wrong = [(1000, prose("de", 333), "en", "s", 1), (1001, prose("de", 335), None, "s", 1), (1002, "zz qq " * 40, None, "s", 1)]
+    docs = spark.createDataFrame(rows + wrong, SCHEMA)
+    told = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert told[1000] == told[1001] == "de" and told[1002] is not None and all(told[i] == ("en", "de")[i % 2] for i in range(200))
+    kept = lambda df: {r.doc_id for r in corpus_pipeline.quality_rules(spark, df, "").collect()}
+    with_model, without = kept(corpus_pipeline.language_id(spark, docs, "")), kept(docs)
+    assert 1000 in with_model and 1000 not in without  # judged by its own language it stays
+
+
+def test_rows_that_differ_in_nulls_are_two(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", None, 5), (1, "a b c", None, "en", 5), (1, "", None, "en", 5), (1, "", "en", None, 5)], SCHEMA)
+    keys = [r["_key"] for r in corpus_pipeline.keyed_rows(docs).collect()]
+    assert len(set(keys)) == 4
+    taken = rows_of(corpus_pipeline.source_mix(spark, docs, ""))
+    assert sum(taken.values()) >= 2 and all(n <= 2 for n in taken.values())
+    kept = rows_of(corpus_pipeline.near_dedup(spark, docs, ""))
+    assert (1, "", None, "en", 5) in kept and (1, "", "en", None, 5) in kept and len(kept) == 3
+
+
+def test_hashes_that_clash_do_not_merge_rows(spark, odd, monkeypatch):
+    whole = corpus_pipeline.row_hash
+    expected = [rows_of(f(spark, odd, "")) for f in (corpus_pipeline.near_dedup, corpus_pipeline.quality_rules)][0]
+    monkeypatch.setattr(corpus_pipeline, "row_hash", lambda seed: whole(seed) if seed == 2 else whole(seed).bitwiseAND(1))
+    assert rows_of(corpus_pipeline.near_dedup(spark, odd, "")) == expected
+    mixed = rows_of(corpus_pipeline.source_mix(spark, odd, ""))
+    assert set(mixed) <= set(rows_of(odd)) and all(n <= 2 * rows_of(odd)[r] for r, n in mixed.items())
 
 
 def test_quality_rules_judge_each_row(spark, odd):
