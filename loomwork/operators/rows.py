@@ -99,13 +99,18 @@ def split_at(df: DataFrame, seed: int, key: str, cuts: list[tuple[str, float]],
 def split_by(df: DataFrame, seed: int, key: str, cuts: list[tuple[str, Callable[[Column], Column]]], last: str, by: list[str] | None = None) -> DataFrame:
     """Cuts of the hash order whose sizes are given by functions of the group's size."""
     ranked = numbered(df, by or [], [hash_order(seed, key), F.col(key)], "_at", "_size")
+    return ranked.withColumn("split", cut_label(cuts, last)).drop("_at", "_size")
+
+
+def cut_label(cuts: list[tuple[str, Callable[[Column], Column]]], last: str) -> Column:
+    """The name of the cut that a row's place ``_at`` of ``_size`` is in; sizes of cuts are functions of ``_size``."""
     label, edge, bounds = F.lit(last), F.lit(0), []
     for name, size in cuts:
         edge = edge + size(F.col("_size"))
         bounds.append((name, edge))
     for name, edge in reversed(bounds):
         label = F.when(F.col("_at") <= edge, name).otherwise(label)
-    return ranked.withColumn("split", label).drop("_at", "_size")
+    return label
 
 
 def drawn(df: DataFrame, seed: int, key: str, n: int) -> DataFrame:
@@ -143,3 +148,58 @@ def require_unique(df: DataFrame, key: str) -> DataFrame:
     per = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*[c for c in df.columns if c != key])).alias("_r"))
     held = per.withColumn("_ok", F.assert_true(F.col("_n") == 1, f"{key} repeats")).where("_ok IS NULL")
     return held.select(key, "_r.*").select(*df.columns)
+
+
+def stratified(df: DataFrame, by: str, seed: int, key: str, share: float, name: str = "test", last: str = "train") -> DataFrame:
+    """Adds ``split``: ceil(share * n) rows of all n are ``name``, each stratum's part of them as near its own share as whole rows allow.
+
+    A stratum gets its share rounded down; the rows then missing go one each to the strata
+    that lost most by it, ties in the order of their names.  Rows are drawn in hash order."""
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_c"))
+    all_ = Window.partitionBy(F.lit(0))  # a row a stratum
+    sizes = sizes.withColumn("_n", F.sum("_c").over(all_)).withColumn("_t", F.ceil(F.col("_n") * share).cast("long"))
+    sizes = sizes.withColumn("_base", F.expr("_c * _t div _n")).withColumn("_rest", F.expr("_c * _t % _n"))
+    turn = F.row_number().over(all_.orderBy(F.desc("_rest"), F.col(by).asc_nulls_first()))
+    take = F.col("_base") + (turn <= F.col("_t") - F.sum("_base").over(all_)).cast("long")
+    sizes = sizes.select(F.col(by).alias("_s"), take.alias("_take"))
+    ranked = numbered(df, [by], [hash_order(seed, key), F.col(key)], "_at", "_size")
+    told = ranked.join(sizes, F.col(by).eqNullSafe(F.col("_s")))
+    return told.withColumn("split", F.when(F.col("_at") <= F.col("_take"), name).otherwise(last)).select(*df.columns, "split")
+
+
+def equal_share(df: DataFrame, by: str, order: list[Column], total: int) -> DataFrame:
+    """total // (number of groups) rows of each group, in order; a group that has fewer is an error."""
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    share = total // max(1, sizes.count())
+    ok = sizes.agg(F.assert_true(F.coalesce(F.min("n"), F.lit(share)) >= share, f"a group has fewer than {share} rows").alias("_ok"))  # one row
+    return rank_in(df, [by], order, share).join(F.broadcast(ok)).where("_ok IS NULL").drop("_ok")
+
+
+def group_batches(df: DataFrame, by: str, key: str, size: int, seed: int, epoch: int = 0) -> DataFrame:
+    """Batches of ``size`` rows of one group each: adds batch (in its group, from 0) and place (of the batch among all, from 1).
+
+    Rows within a group and the batches of all groups are in hash orders of seed and epoch,
+    so every epoch has other batches in another order; a group's last incomplete batch is
+    left out.  Batches are numbered by a row each."""
+    ranked = numbered(df, [by], [hash_order(seed + epoch, key), F.col(key)], "_at", "_size")
+    full = ranked.where(F.expr(f"(_at - 1) div {size} < _size div {size}")).withColumn("batch", F.expr(f"(_at - 1) div {size}"))
+    full = Workspace(df.sparkSession, "batches").save(full.drop("_at", "_size"), "rows")
+    heads = full.select(F.col(by).alias("_g"), F.col("batch").alias("_b")).distinct()
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed + epoch)), F.coalesce(F.col("_g").cast("string"), F.lit("")), F.col("_b").cast("string")))
+    heads = numbered(heads, [], [draw, F.col("_g"), F.col("_b")], "place", "_all").drop("_all")
+    return full.join(heads, F.col(by).eqNullSafe(F.col("_g")) & (F.col("batch") == F.col("_b"))).drop("_g", "_b")
+
+
+def recipe(pools: list[tuple[str, DataFrame, int]], key: str, stratum: str, block: DataFrame, seed: int, at: str) -> DataFrame:
+    """Rows of each pool (name, rows, number wanted) in turn by stratum, adds ``part``.
+
+    A pool's rows are those whose key is neither blocked nor in an earlier pool, one a key
+    (the first by ``at``); of these the wanted number is taken, one a stratum and turn in
+    hash order of ``at``, or all if there are no more."""
+    seen, out = block.select(key), None
+    for name, df, wanted in pools:
+        fresh = first_wins(without(df, seen, key), key, at)
+        picked = round_robin(fresh, stratum, [hash_order(seed, at), F.col(at)], wanted).drop("turn").withColumn("part", F.lit(name))
+        out = picked if out is None else out.unionByName(picked)
+        seen = seen.unionByName(df.select(key))
+    return out

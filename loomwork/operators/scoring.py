@@ -89,3 +89,35 @@ def boxed_count(stored: Column, completions: Column) -> Column:
 def binary_reward(predicted: Column, answer: Column) -> Column:
     """1 if both are the same characters, else 0; null is wrong."""
     return F.when(predicted == answer, 1.0).otherwise(0.0)
+
+
+def score_file(items: DataFrame, method: str, at: str = "index") -> tuple[DataFrame, DataFrame]:
+    """(detailed results a row, metrics of one row) of a generation file.
+
+    Items: ``at`` (a row's place), prompt, reference, answer, completions (array).  The
+    reference goes before the answer.  Errors: no rows, a row without either, a row without
+    completions, rows with different numbers of them.  Details: ``at``, prompt, reference,
+    n, c, completions (extracted, correct).  Metrics: benchmark_method, n_problems,
+    n_completions, pass_1 and, from eight completions on, pass_8 (else null)."""
+    gold = F.coalesce(F.col("reference").cast("string"), F.col("answer").cast("string"))
+    n = F.coalesce(F.size("completions"), F.lit(0))
+    sizes = items.agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("low"), F.max(n).alias("high"), F.count_if(gold.isNull()).alias("bare"))
+    held = sizes.select(  # one row
+        F.coalesce(
+            F.assert_true(F.col("rows") > 0, "the generation file is empty"), F.assert_true(F.col("bare") == 0, "a row has neither reference nor answer"),
+            F.assert_true(F.col("low") > 0, "a row has no completions"), F.assert_true(F.col("low") == F.col("high"), "rows have different numbers of completions"),
+        ).alias("_ok")
+    )
+    each = items.select(at, "prompt", gold.alias("reference"), F.posexplode("completions").alias("_i", "_t"))
+    each = each.withColumn("extracted", answers.extract(F.col("_t"), F.col("reference"), method))
+    each = each.withColumn("correct", F.coalesce(answers.correct(F.col("extracted"), F.col("reference"), method), F.lit(False)))
+    per = each.groupBy(at).agg(
+        F.any_value("prompt").alias("prompt"), F.any_value("reference").alias("reference"), F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "extracted", "correct"))), lambda x: F.struct(x["extracted"].alias("extracted"), x["correct"].alias("correct"))).alias("completions"),
+    )
+    details = per.join(F.broadcast(held)).where("_ok IS NULL").drop("_ok")
+    rate = lambda k: F.avg(F.when(F.col("n") >= k, answers.pass_at_k(F.col("n"), F.col("c"), k)))
+    metrics = details.agg(
+        F.lit(method).alias("benchmark_method"), F.count(F.lit(1)).alias("n_problems"), F.max("n").alias("n_completions"), rate(1).alias("pass_1"), rate(8).alias("pass_8")
+    )
+    return details, metrics

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import answers, text
-from loomwork.operators import rows
+from loomwork.operators import quantiles, rows
 from loomwork.operators.neighbours import dense_topk
 from loomwork.plans.bindings import ATTEMPTS_SQL, MCQ_SQL, attempts, load, mcq
 
@@ -66,6 +66,15 @@ def frontier_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.col("l_orderkey").alias("problem"), F.col("c").cast("long").alias("correct"), F.col("boxed").cast("long").alias("boxed"))
 
 
+@query(f"""WITH {ATTEMPTS_SQL} SELECT l_orderkey AS problem, c::BIGINT AS correct, boxed::BIGINT AS boxed, n::BIGINT AS n, row_number() OVER (ORDER BY md5('42|' || l_orderkey), l_orderkey) AS place FROM a WHERE c BETWEEN 1 AND 7
+QUALIFY place <= 100""")
+def frontier_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems answered right by some samples but not by all, in a drawn order, 100 at most."""
+    a = attempts(spark, sf_dir).where(F.col("c").between(1, 7)).select(F.col("l_orderkey").alias("problem"), "c", "boxed", "n")
+    first = rows.numbered(rows.drawn(a, 42, "problem", 100), [], [rows.hash_order(42, "problem"), F.col("problem")], "place", "size")
+    return first.select("problem", F.col("c").cast("long").alias("correct"), F.col("boxed").cast("long").alias("boxed"), F.col("n").cast("long").alias("n"), "place")
+
+
 @query(f"""WITH {ATTEMPTS_SQL} SELECT macro_cat, CASE WHEN macro_cat IS NULL THEN 'overall' ELSE 'macro' END AS section, count(*) AS problems,
 round(avg(c / 8.0::DOUBLE), 6) AS accuracy, round(avg(boxed / 8.0::DOUBLE), 6) AS box_rate FROM a GROUP BY GROUPING SETS ((macro_cat), ())""")
 def category_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,12 +188,13 @@ def per_lang_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.split_at(d, 7, "doc_id", [("test", 0.1), ("val", 0.2)], "train", by=["lang"])
 
 
-@query("""SELECT doc_id, lang, ((r - 1) // 32)::BIGINT AS batch FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('3|' || doc_id), doc_id) AS r,
-count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE (r - 1) // 32 < n // 32""")
+@query("""WITH b AS (SELECT doc_id, lang, ((r - 1) // 32)::BIGINT AS batch FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('5|' || doc_id), doc_id) AS r,
+count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE (r - 1) // 32 < n // 32), h AS (SELECT lang, batch, row_number() OVER (ORDER BY md5('5|' || coalesce(lang, '') || '|' || batch)) AS place FROM (SELECT DISTINCT lang, batch FROM b))
+SELECT doc_id, b.lang, b.batch, place FROM b JOIN h ON b.batch = h.batch AND b.lang IS NOT DISTINCT FROM h.lang""")
 def mono_group_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of one language, in the order of the third epoch."""
     d = load(spark, sf_dir, "documents").select("doc_id", "lang")
-    d = rows.numbered(d, ["lang"], [rows.hash_order(3, "doc_id"), F.col("doc_id")], "r", "n")
-    return d.where(F.expr("(r - 1) div 32 < n div 32")).select("doc_id", "lang", F.expr("(r - 1) div 32").alias("batch"))
+    return rows.group_batches(d, "lang", "doc_id", 32, seed=3, epoch=2)
 
 
 @query(rf"""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_orderpriority WHEN 1 THEN '\frac{{' || o_orderkey || '}}{{2}}' WHEN 2 THEN o_orderkey::VARCHAR END AS answer FROM orders""")
@@ -206,19 +216,22 @@ def _template() -> Column:
     )
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 4 THEN substr('ABCD', (o_orderkey % 4 + 1)::INT, 1) END AS letter FROM orders WHERE o_orderkey % 6 > 3")
-def choice_label_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").where("o_orderkey % 6 > 3").select("o_orderkey", _template().alias("t"))
-    return o.select("o_orderkey", answers.choice_label(F.col("t")).alias("letter"))
+_LETTERS = "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 2 THEN 'X' WHEN 4 THEN substr('ABCD', (o_orderkey % 4 + 1)::INT, 1) END AS letter FROM orders"
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 2 THEN 'X' WHEN 4 THEN substr('ABCD', (o_orderkey % 4 + 1)::INT, 1) END AS letter FROM orders")
-def choice_label_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_LETTERS)
+def choice_label_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letter of every order's response, of all six templates."""
     o = load(spark, sf_dir, "orders").select("o_orderkey", _template().alias("t"))
     return o.select("o_orderkey", answers.choice_label(F.col("t")).alias("letter"))
 
 
+@query(_LETTERS)
+def choice_label_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under its earlier name."""
+    return choice_label_extract(spark, sf_dir)
+
+
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n, round(sum(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE WHEN l_linestatus = 'O' THEN -0.25 ELSE -0.75 END
 - CASE WHEN l_quantity > 45 THEN 0.05 ELSE 0 END), 6) AS reward FROM lineitem GROUP BY 1, 2""")
 def rollout_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,27 +241,46 @@ def rollout_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT lang, min(n_chars) AS low, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.9), 6) AS p90, round(quantile_cont(n_chars, 0.99), 6) AS p99,
-max(n_chars) AS high, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 4) AS std, count_if(n_chars > 4096)::BIGINT AS over_4096 FROM documents GROUP BY lang""")
+_SHARES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+_CUTOFFS = (512, 1024, 1536, 2048, 3072, 4096)
+
+
+@query("SELECT lang, min(n_chars) AS low, " + ", ".join(f"round(quantile_cont(n_chars, {q}), 6) AS {n}" for n, q in _SHARES.items()) + ", max(n_chars) AS high, round(avg(n_chars), 6) AS mean, "
+       "round(stddev_pop(n_chars), 4) AS std, " + ", ".join(f"count_if(n_chars > {c})::BIGINT AS over_{c}, round(100.0::DOUBLE * count_if(n_chars > {c}) / count(n_chars), 6) AS over_{c}_pct" for c in _CUTOFFS) + " FROM documents GROUP BY lang")
 def length_percentiles_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda q, n: F.round(F.percentile("n_chars", q), 6).alias(n)
-    return load(spark, sf_dir, "documents").groupBy("lang").agg(
-        F.min("n_chars").alias("low"), p(0.5, "p50"), p(0.9, "p90"), p(0.99, "p99"), F.max("n_chars").alias("high"),
-        F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_pop("n_chars"), 4).alias("std"), F.count_if(F.col("n_chars") > 4096).alias("over_4096"),
+    """Lengths of a language's documents: percentiles between neighbours, and how many each cutoff would cut."""
+    d = load(spark, sf_dir, "documents").select("lang", "n_chars")
+    shares = quantiles.percentiles(d, "lang", "n_chars", _SHARES)
+    over = lambda c: F.count_if(F.col("n_chars") > c)
+    more = d.where("n_chars IS NOT NULL").groupBy(F.col("lang").alias("_l")).agg(
+        F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_pop("n_chars"), 4).alias("std"),
+        *(x for c in _CUTOFFS for x in (over(c).alias(f"over_{c}"), F.round(100.0 * over(c) / F.count("n_chars"), 6).alias(f"over_{c}_pct"))),
     )
+    rounded = shares.select("lang", "low", "high", *(F.round(n, 6).alias(n) for n in _SHARES))
+    return rounded.join(more, F.col("lang").eqNullSafe(F.col("_l"))).drop("_l")
 
 
-@query("SELECT lang, n_chars AS p90 FROM (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE r = floor(n * 0.9) + 1")
+@query("SELECT lang, " + ", ".join(f"max(CASE WHEN r = floor(n * {q}::DOUBLE) + 1 THEN n_chars END) AS {n}" for n, q in _SHARES.items()) +
+       " FROM (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) GROUP BY lang")
 def length_percentiles_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents").select("lang", "n_chars", "doc_id")
-    d = rows.numbered(d, ["lang"], [F.col("n_chars"), F.col("doc_id")], "r", "n")
-    return d.where(F.col("r") == F.floor(F.col("n") * 0.9) + 1).select("lang", F.col("n_chars").alias("p90"))
+    """Lengths at whole places of a language's documents in order."""
+    d = load(spark, sf_dir, "documents").select("lang", "n_chars")
+    return quantiles.at_places(d, "lang", "n_chars", {n: F.floor(F.col("n") * q) for n, q in _SHARES.items()}).select("lang", *_SHARES)
 
 
-@query("SELECT lang, count_if(source = 'src0')::BIGINT AS src0, count_if(source = 'src1')::BIGINT AS src1, count_if(source = 'src2')::BIGINT AS src2 FROM documents GROUP BY lang")
+@query("""WITH l AS (SELECT DISTINCT lang FROM documents), s AS (SELECT DISTINCT coalesce(source, '') AS source FROM documents), c AS (SELECT lang, coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY ALL),
+z AS (SELECT l.lang, s.source, coalesce(n, 0) AS n FROM l CROSS JOIN s LEFT JOIN c ON c.lang IS NOT DISTINCT FROM l.lang AND c.source = s.source)
+SELECT lang, string_agg(source || '=' || n, ' ' ORDER BY source) AS counts, sum(n)::BIGINT AS total FROM z GROUP BY lang""")
 def lang_subject_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents").select("lang", "source")
-    return d.groupBy("lang").pivot("source", ["src0", "src1", "src2"]).count().fillna(0)
+    """A row a language with the documents of every source, 0 where it has none."""
+    d = load(spark, sf_dir, "documents").select("lang", F.coalesce("source", F.lit("")).alias("source"))
+    names = sorted(r.source for r in d.select("source").distinct().limit(10_001).collect())
+    if len(names) > 10_000:
+        raise ValueError("a table of over 10000 columns")
+    own = F.map_from_entries(F.collect_list(F.struct("source", "n")))
+    per = d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(own.alias("m"), F.sum("n").alias("total"))
+    cell = lambda s: F.concat(s, F.lit("="), F.coalesce(F.try_element_at("m", s), F.lit(0)).cast("string"))
+    return per.select("lang", F.array_join(F.transform(F.array(*map(F.lit, names)), cell), " ").alias("counts"), "total")
 
 
 @query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), l AS (SELECT DISTINCT lang FROM documents), s AS (SELECT DISTINCT source FROM documents)

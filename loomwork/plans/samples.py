@@ -26,11 +26,12 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.split_by(d, 42, "doc_id", [("test", lambda n: F.greatest(F.lit(1), F.round(n * 0.05)))], "train")
 
 
-@query(f"SELECT doc_id, lang, CASE WHEN r <= ceil(n * 0.1) THEN 'test' ELSE 'train' END AS split FROM ({_ranked(42, 'documents', 'doc_id', 'PARTITION BY lang')})")
+@query(f"""WITH s AS (SELECT lang, count(*) AS c, sum(count(*)) OVER ()::BIGINT AS n, ceil(sum(count(*)) OVER ()::BIGINT * 0.1::DOUBLE)::BIGINT AS t FROM documents GROUP BY lang),
+k AS (SELECT lang, c * t // n + (row_number() OVER (ORDER BY c * t % n DESC, lang NULLS FIRST) <= t - sum(c * t // n) OVER ())::INT AS take FROM s)
+SELECT doc_id, r.lang, CASE WHEN r <= take THEN 'test' ELSE 'train' END AS split FROM ({_ranked(42, 'documents', 'doc_id', 'PARTITION BY lang')}) r JOIN k ON r.lang IS NOT DISTINCT FROM k.lang""")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of each stratum, rounded up, as the test part."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "lang")
-    return rows.split_by(d, 42, "doc_id", [("test", lambda n: F.ceil(n * 0.1))], "train", by=["lang"])
+    """A tenth of all rows as the test part, each stratum by its share of them."""
+    return rows.stratified(load(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 42, "doc_id", 0.1)
 
 
 @query(f"""SELECT doc_id, CASE WHEN r <= greatest(16, round(n * 0.05)) THEN 'eval' ELSE 'train' END AS pairs, CASE WHEN r <= least(64, greatest(1, n // 10)) THEN 'eval'
@@ -38,10 +39,11 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held out for evaluation: 5 % but 16 at least; or a tenth but 64 at most, with 300 rows to train on."""
     d = load(spark, sf_dir, "documents").select("doc_id")
-    one = rows.split_by(d, 42, "doc_id", [("eval", lambda n: F.greatest(F.lit(16), F.round(n * 0.05)))], "train")
+    ranked = rows.numbered(d, [], [rows.hash_order(42, "doc_id"), F.col("doc_id")], "_at", "_size")
+    pairs = rows.cut_label([("eval", lambda n: F.greatest(F.lit(16), F.round(n * 0.05)))], "train")
     size = lambda n: F.least(F.lit(64), F.greatest(F.lit(1), F.floor(n / 10)))
-    two = rows.split_by(d, 42, "doc_id", [("eval", size), ("train", lambda n: F.lit(300))], "unused")
-    return one.withColumnRenamed("split", "pairs").join(two.withColumnRenamed("split", "capped"), "doc_id")
+    capped = rows.cut_label([("eval", size), ("train", lambda n: F.lit(300))], "unused")
+    return ranked.select("doc_id", pairs.alias("pairs"), capped.alias("capped"))
 
 
 @query(f"SELECT doc_id FROM ({_ranked(42, 'documents', 'doc_id')}) WHERE r <= 100")
@@ -52,10 +54,9 @@ def quick_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT source, doc_id FROM ({_ranked(1, 'documents', 'doc_id', 'PARTITION BY source')}) WHERE r <= 120 // (SELECT count(DISTINCT source) FROM documents)")
 def equal_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """120 rows in equal shares of the sources."""
+    """120 rows in equal shares of the sources; a source that has fewer is an error."""
     d = load(spark, sf_dir, "documents").select("source", "doc_id")
-    share = 120 // max(1, d.select("source").distinct().count())
-    return rows.rank_in(d, ["source"], [rows.hash_order(1, "doc_id"), F.col("doc_id")], share).select("source", "doc_id")
+    return rows.equal_share(d, "source", [rows.hash_order(1, "doc_id"), F.col("doc_id")], 120).select("source", "doc_id")
 
 
 @query(f"SELECT source, doc_id FROM ({_ranked(2, 'documents', 'doc_id', 'PARTITION BY source')}) WHERE r <= least(5, greatest(1, floor(0.05 * n)))")
@@ -68,14 +69,14 @@ def calibration_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id),
-s AS (SELECT 'pairs' AS part, conv_id AS id, texts[1] AS prompt, texts[2] AS completion FROM c WHERE len(texts) = 2 UNION ALL SELECT 'docs', doc_id, substr(text, 1, 40), source FROM documents)
+s AS (SELECT 'pairs' AS part, conv_id AS id, texts[1] AS prompt, texts[2] AS completion FROM c WHERE len(texts) = 2 UNION ALL SELECT 'docs', doc_id, text, source FROM documents)
 SELECT part, id, md5(prompt) AS prompt, md5(completion) AS completion FROM ({_ranked(9, 's', 'id', 'PARTITION BY part')}) WHERE r <= CASE part WHEN 'docs' THEN 30 ELSE 15 END""")
 def fixed_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed numbers of rows of each part; two-message conversations are unpacked, longer ones belong to no part."""
     turn = F.array_sort(F.collect_list(F.struct("turn", "text")))
     c = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(turn.alias("m")).where(F.size("m") == 2)
     pairs = c.select(F.lit("pairs").alias("part"), F.col("conv_id").alias("id"), F.col("m")[0]["text"].alias("prompt"), F.col("m")[1]["text"].alias("completion"))
-    docs = load(spark, sf_dir, "documents").select(F.lit("docs").alias("part"), F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("prompt"), F.col("source").alias("completion"))
+    docs = load(spark, sf_dir, "documents").select(F.lit("docs").alias("part"), F.col("doc_id").alias("id"), F.col("text").alias("prompt"), F.col("source").alias("completion"))
     order, limits = [rows.hash_order(9, "id"), F.col("id")], {"pairs": 15, "docs": 30}
     both = rows.rank_in(pairs, ["part"], order, limits["pairs"]).unionByName(rows.rank_in(docs, ["part"], order, limits["docs"]))
     return both.select("part", "id", F.md5("prompt").alias("prompt"), F.md5("completion").alias("completion"))
@@ -145,11 +146,16 @@ def complete_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.good_prefix(o, "o_orderkey", ~((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 300000))).select("o_orderkey")
 
 
-@query("SELECT c_custkey AS at, c_name AS name, (c_custkey % 9)::BIGINT AS c FROM customer")
+@query("""WITH p AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+s AS (SELECT count_if(l_returnflag = 'R')::BIGINT AS c, count(*) AS n, row_number() OVER (ORDER BY l_orderkey) AS place FROM lineitem GROUP BY l_orderkey) SELECT place, o_orderkey, o_orderpriority, c, n FROM p JOIN s USING (place)""")
 def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pool and its scores, in step."""
-    c = load(spark, sf_dir, "customer")
-    return rows.by_position(c.select(F.col("c_custkey").alias("at"), F.col("c_name").alias("name")), c.select(F.col("c_custkey").alias("at"), (F.col("c_custkey") % 9).alias("c")), "at")
+    """A pool of questions and the scores of another table, in step."""
+    lines = load(spark, sf_dir, "lineitem")
+    pool = load(spark, sf_dir, "orders").join(lines.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey", "o_orderpriority")
+    scores = lines.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("c"), F.count(F.lit(1)).alias("n"))
+    left = rows.numbered(pool, [], [F.col("o_orderkey")], "place", "size").drop("size")
+    right = rows.numbered(scores, [], [F.col("l_orderkey")], "place", "size").drop("size", "l_orderkey")
+    return rows.by_position(left, right, "place")
 
 
 @query("""WITH b AS (SELECT p_name, arg_max(p_brand, p_partkey) AS category FROM part WHERE p_size > 15 AND p_name NOT LIKE 'a%' GROUP BY p_name)
@@ -182,11 +188,11 @@ def id_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
 
 
-@query("SELECT count(*) AS shared, count(*) = 0 AS healthy FROM (SELECT p_partkey FROM part WHERE p_size < 10 INTERSECT SELECT p_partkey FROM part WHERE p_size >= 10)")
+@query("SELECT count(*) AS shared, count(*) = 0 AS healthy FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def overlap_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two samples share an id."""
-    p = load(spark, sf_dir, "part")
-    shared = p.where("p_size < 10").select("p_partkey").intersect(p.where("p_size >= 10").select("p_partkey"))
+    o = load(spark, sf_dir, "orders")
+    shared = o.where("o_orderstatus = 'P'").select("o_custkey").intersect(o.where("o_orderpriority = '1-URGENT'").select("o_custkey"))
     return shared.agg(F.count(F.lit(1)).alias("shared")).withColumn("healthy", F.col("shared") == 0)
 
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomwork.operators.rows import by_position
 from loomwork.operators.scoring import boxed_count
 from loomwork.workspace import Workspace
 
@@ -31,14 +35,57 @@ def unpivot_categories(df: DataFrame, items: str, category: str = "category") ->
     return df.select(F.explode(items).alias(category, "_items")).select(category, F.explode("_items").alias("item"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the files at ``path``: file, line_no, row_no, value.
+
+    line_no is a line's place in its file, from 1; row_no its place among all lines that are
+    not blank, the files in the order of their paths (null for a blank one).  A file is
+    read in as many splits as Spark makes of it: a task counts through each of its splits,
+    and a small table with a row a split tells how many lines stand before it."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value", F.col("value").rlike(r"\S").alias("filled")
+    )
+    split = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("lines"), F.count_if("filled").alias("filled"))
+    split = Workspace(spark, "lines").save(split, "splits")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    in_file, in_all = before(Window.partitionBy("file").orderBy("split")), before(Window.partitionBy(F.lit(0)).orderBy("file", "split"))
+    starts = split.select(
+        F.col("file").alias("_f"), F.col("split").alias("_s"),
+        F.coalesce(F.sum("lines").over(in_file), F.lit(0)).alias("_lines"), F.coalesce(F.sum("filled").over(in_all), F.lit(0)).alias("_rows"),
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places within a split: a split's lines follow each other in its task."""
+        last, n_lines, n_rows = None, 0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = np.stack([batch["key"].to_numpy(), batch["split"].to_numpy()], 1)
+            filled = batch["filled"].to_numpy(zero_copy_only=False).astype(np.int64)
+            new = np.concatenate([[last is None or (key[0] != last).any()], (key[1:] != key[:-1]).any(1)])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))  # -1: the split of the batch before goes on
+            upto = np.cumsum(filled)
+            line = np.arange(len(key)) - first + 1 + np.where(first < 0, n_lines - 1, 0)
+            row = upto - np.where(first < 0, -n_rows, np.where(first > 0, upto[first - 1], 0))
+            last, n_lines, n_rows = key[-1], int(line[-1]), int(row[-1])
+            columns = [batch["file"], batch["split"], pa.array(line), pa.array(np.where(filled > 0, row, 0), mask=filled == 0), batch["value"]]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "split", "line", "row", "value"])
+
+    placed = lines.select(F.xxhash64("file").alias("key"), "file", "split", "filled", "value").mapInArrow(count, "file string, split long, line long, row long, value string")
+    few = split.count() <= 1_000_000
+    told = placed.join(F.broadcast(starts) if few else starts, (F.col("file") == F.col("_f")) & (F.col("split") == F.col("_s")))
+    return told.select("file", (F.col("line") + F.col("_lines")).alias("line_no"), (F.col("row") + F.col("_rows")).alias("row_no"), "value")
+
+
 def jsonl_numbered(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines with ``line_no``, each line's place in its file from 1; blank lines count but give no row.
+    """JSON lines with file, line_no and row_no (see ``numbered_lines``); blank lines give no row, a malformed one fails the job."""
+    lines = numbered_lines(spark, path).where("row_no IS NOT NULL")
+    return lines.select("file", "line_no", "row_no", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("file", "line_no", "row_no", "r.*")
+
 
-    A file is one split here, for a line's number is what stands before it; many files are read side by side."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = text.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "line")).where(F.trim("line") != "")
-    parsed = lines.select("file", (F.col("at") + 1).alias("line_no"), F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
-    return parsed.select("file", "line_no", "r.*")
+def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two numbered files (or folders of files) side by side by row_no; unequal lengths are an error."""
+    return by_position(left.drop("file", "line_no"), right.drop("file", "line_no"), "row_no")
 
 
 def with_answers(questions: DataFrame, answers: DataFrame, key: str = "id", letters: str = "ABCDEFGHIJKLMNOPQRST") -> DataFrame:

@@ -10,10 +10,17 @@ silently.  ``first_valid`` caps a source after its rejects, in a given order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import answers, fixed, text
+from loomwork.operators import build
+from loomwork.workspace import Workspace
 
 Loaded = tuple[DataFrame, DataFrame]
 MACROS = list(fixed.MACRO_QUOTAS)
@@ -313,6 +320,26 @@ def first_prep(df: DataFrame) -> Loaded:
     return _split(df, macro != "world_knowledge", out)
 
 
+def triviaqa(df: DataFrame, seed: int = 42, need: int = 3) -> Loaded:
+    """question_id (unique), question, answer.value, answer.aliases: a free answer becomes four options, three of them other questions' answers.
+
+    Empty questions and golds that are garbage are rejected, and so are questions for which
+    no three wrong answers can be found.  Wrong answers come from the answers that are kept."""
+    q, gold = clean("question"), clean(F.col("answer.value"))
+    garbage = F.lower(gold).isin("", *fixed.GARBAGE_GOLDS) | ((F.length(gold) == 1) & ~gold.rlike(r"[\p{L}\p{N}]"))
+    valid = (q != "") & ~garbage
+    asked = df.where(valid).select(F.col("question_id").alias("qid"), gold.alias("gold"), F.coalesce(F.col("answer.aliases"), F.array().cast("array<string>")).alias("aliases"))
+    work = Workspace(df.sparkSession, "triviaqa")
+    extra = build.trivia_options(work.save(asked, "asked"), seed, need)
+    extra = extra.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", F.trim("option").alias("option")))).alias("_m")).where(F.size("_m") == need)
+    extra = work.save(extra.withColumnRenamed("qid", "question_id"), "extra")
+    found = df.join(extra, "question_id", "left")
+    options = build.shuffled(F.concat(F.array(gold), F.transform("_m", lambda x: x["option"])), F.col("question_id"), seed)
+    at = F.array_position(options, gold) - 1
+    good, bad = _examples(found, q, options, at, valid & F.col("_m").isNotNull(), "triviaqa", "history_geo", "triviaqa")
+    return good, bad.drop("_m")
+
+
 def first_valid(examples: DataFrame, limit: int | None, *order: str) -> DataFrame:
     """At most ``limit`` examples, in order: rejects don't count."""
     return examples if limit is None else examples.orderBy(*order).limit(limit)
@@ -321,22 +348,85 @@ def first_valid(examples: DataFrame, limit: int | None, *order: str) -> DataFram
 #: The sources in the order of their priority in a merge.
 REGISTRY = {
     "mmlu_pro_cot": mmlu_pro_cot, "ecqa": ecqa, "mmlu": mmlu, "mmlu_world": mmlu_world, "boolq": boolq, "socialiqa": socialiqa,
-    "commonsenseqa": commonsenseqa, "mmlu_pro": mmlu_pro, "arc_challenge": arc_challenge, "openbookqa": openbookqa,
+    "commonsenseqa": commonsenseqa, "mmlu_pro": mmlu_pro, "arc_challenge": arc_challenge, "openbookqa": openbookqa, "triviaqa": triviaqa,
 }
 
 
-def load_sources(raw: dict[str, DataFrame]) -> tuple[DataFrame | None, dict[str, str]]:
-    """Examples of every registered source that can be read, with its place as ``source_ord``, and
-    why others failed: a source that cannot be planned or give a first row is left out, the rest go on."""
-    out, failed = None, {}
-    for place, (name, loader) in enumerate(REGISTRY.items()):
+@dataclass
+class Isolated:
+    """What of the sources could be read.  examples: of all sources, None if there are
+    none; quarantine: source, reason, row (as JSON) of what failed alone; failed: why
+    whole sources are left out."""
+
+    examples: DataFrame | None
+    quarantine: DataFrame | None
+    failed: dict[str, str]
+
+
+def _reason(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e).splitlines()[0][:500]}"
+
+
+def isolated(raw: DataFrame, load: Callable[[DataFrame], DataFrame], work: Workspace, name: str, most: int = 64, ways: int = 16) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(parts of the examples, quarantined rows) of one source whose loader may raise on some rows.
+
+    The whole is written at once.  If that fails, the raw rows are written with numbers
+    (a file that breaks off keeps what was read of it), dealt to ``ways`` parts by hash,
+    and each part is loaded by itself; a part that fails is dealt anew, down to single
+    rows.  ``load`` must judge each row by itself.  After ``most`` failed parts the
+    source is given up as a whole: it is the loader that fails, not some rows."""
+    spark = raw.sparkSession
+    try:
+        return [work.save(load(raw), f"{name}-whole")], []
+    except Exception as e:  # noqa: BLE001  (whatever a source's reader or loader raises)
+        if isinstance(e, AnalysisException):  # it cannot even be planned
+            raise
+    setting = "spark.sql.files.ignoreCorruptFiles"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        rows = work.save(raw.select("*", F.monotonically_increasing_id().alias("_row")), f"{name}-raw")
+    finally:
+        spark.conf.set(setting, before)
+    whole, bad, failures = [], [], 0
+    todo = [(rows, 0)]
+    while todo:
+        part, depth = todo.pop()
+        try:
+            whole.append(work.save(load(part.drop("_row")), f"{name}-{len(whole)}"))
+            continue
+        except Exception as e:  # noqa: BLE001
+            failures += 1
+            if failures > most:
+                raise
+            if part.limit(2).count() == 1:
+                bad.append(part.select(F.lit(name).alias("source"), F.lit(_reason(e)).alias("reason"), F.to_json(F.struct(*raw.columns)).alias("row")))
+                continue
+        place = F.pmod(F.xxhash64("_row", F.lit(depth)), F.lit(ways))
+        dealt = work.save(part.withColumn("_part", place), f"{name}-dealt{failures}")
+        there = [r["_part"] for r in dealt.select("_part").distinct().collect()]  # at most ``ways``
+        todo += [(dealt.where(F.col("_part") == p).drop("_part"), depth + 1) for p in sorted(there)]
+    return whole, bad
+
+
+def load_isolated(raw: dict[str, DataFrame], registry: dict[str, Callable[[DataFrame], Loaded]] | None = None) -> Isolated:
+    """Examples of every registered source in ``raw`` with its place as ``source_ord``; sources and rows that fail stay out of the others' way."""
+    examples, bad, failed = [], [], {}
+    for place, (name, loader) in enumerate((registry or REGISTRY).items()):
         if name not in raw:
             continue
+        load = lambda df, loader=loader, place=place: loader(df)[0].withColumn("source_ord", F.lit(place))
         try:
-            good = loader(raw[name])[0].withColumn("source_ord", F.lit(place))
-            good.limit(1).collect()  # Spark reads only now
-        except Exception as e:  # noqa: BLE001  (whatever a source's reader raises)
-            failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
+            whole, alone = isolated(raw[name], load, Workspace(raw[name].sparkSession, "source"), name)
+        except Exception as e:  # noqa: BLE001
+            failed[name] = _reason(e)
             continue
-        out = good if out is None else out.unionByName(good)
-    return out, failed
+        examples, bad = examples + whole, bad + alone
+    union = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
+    return Isolated(union(examples), union(bad), failed)
+
+
+def load_sources(raw: dict[str, DataFrame]) -> tuple[DataFrame | None, dict[str, str]]:
+    """Examples of every registered source, and why whole sources failed; see ``load_isolated`` for the rows that failed alone."""
+    found = load_isolated(raw)
+    return found.examples, found.failed
