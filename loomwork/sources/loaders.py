@@ -409,15 +409,17 @@ def isolated(raw: DataFrame, load: Callable[[DataFrame], DataFrame], work: Works
     return whole, bad
 
 
-def load_isolated(raw: dict[str, DataFrame], registry: dict[str, Callable[[DataFrame], Loaded]] | None = None) -> Isolated:
-    """Examples of every registered source in ``raw`` with its place as ``source_ord``; sources and rows that fail stay out of the others' way."""
+def load_isolated(raw: dict[str, DataFrame], registry: dict[str, Callable[[DataFrame], Loaded]] | None = None, most: int = 64) -> Isolated:
+    """Examples of every registered source in ``raw`` with its place as ``source_ord``; sources and rows that fail stay out of the others' way.
+
+    ``most``: parts of a source that may fail before it is given up (see ``isolated``)."""
     examples, bad, failed = [], [], {}
     for place, (name, loader) in enumerate((registry or REGISTRY).items()):
         if name not in raw:
             continue
         load = lambda df, loader=loader, place=place: loader(df)[0].withColumn("source_ord", F.lit(place))
         try:
-            whole, alone = isolated(raw[name], load, Workspace(raw[name].sparkSession, "source"), name)
+            whole, alone = isolated(raw[name], load, Workspace(raw[name].sparkSession, "source"), name, most)
         except Exception as e:  # noqa: BLE001
             failed[name] = _reason(e)
             continue
