@@ -26,7 +26,8 @@ class GraphPlan:
     """k: neighbours returned.  degree: edges of a node.  beam,
     search_beam: of the searches while building and for queries.
     alpha: relaxation of the pruning.  shard_rows: distinct vectors in a shard,
-    about.  block: queries searched at once.  batch: points inserted at once."""
+    about.  block: queries that meet a shard together, so that its graph is read once for
+    them.  walk: of these searched at once.  batch: points inserted at once."""
 
     k: int = 10
     degree: int = 24
@@ -34,7 +35,8 @@ class GraphPlan:
     search_beam: int = 128
     alpha: float = 1.2
     shard_rows: int = 4096
-    block: int = 256
+    block: int = 8192
+    walk: int = 256
     batch: int = 128
 
 
@@ -223,13 +225,15 @@ def nearest_neighbours(
                 x = np.frombuffer(row.x).reshape(-1, row.dim)
                 ids = np.frombuffer(row.ids, np.int64)
                 graph = Graph(x, np.frombuffer(row.edges, np.int32).reshape(len(x), -1), np.frombuffer(row.entries, np.int64))
-                qid = np.array([q["id"] for q in row.q], np.int64)
-                q = np.array([q["v"] for q in row.q], np.float64)
-                found, _ = graph.search(q, plan.search_beam)
-                good = found >= 0
-                score = np.sqrt(((x[np.where(good, found, 0)] - q[:, None, :]) ** 2).sum(2))
-                out = pd.DataFrame({"query_id": np.repeat(qid, found.shape[1]), "rep": ids[found].ravel(), "score": score.ravel()})
-                yield out[good.ravel()]
+                for at in range(0, len(row.q), plan.walk):
+                    own = row.q[at : at + plan.walk]
+                    qid = np.array([q["id"] for q in own], np.int64)
+                    q = np.array([q["v"] for q in own], np.float64)
+                    found, _ = graph.search(q, plan.search_beam)
+                    good = found >= 0
+                    score = np.sqrt(((x[np.where(good, found, 0)] - q[:, None, :]) ** 2).sum(2))
+                    out = pd.DataFrame({"query_id": np.repeat(qid, found.shape[1]), "rep": ids[found].ravel(), "score": score.ravel()})
+                    yield out[good.ravel()]
 
     hits = blocks.join(index, ["shard", "dim"]).mapInPandas(walk, "query_id long, rep long, score double")
     near = Window.partitionBy("query_id").orderBy("score", "rep")

@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
@@ -153,6 +154,8 @@ class ByteBpe:
         self.table, self.pairs = table, pair_table(ranks)
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.split = regex.compile(pattern).findall
+        if pattern != public_tokenizers.PATTERN:  # another may join what stands on both sides of a cut
+            self._cut = None
         self.vocabulary = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.vocabulary[i] = token
@@ -179,7 +182,7 @@ class ByteBpe:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut, out = self._cut.split, []
+        cut, out = self._cut.split if self._cut else lambda text: [text], []
         for at in range(0, len(texts), 64):
             split = []
             for text in texts[at : at + 64]:

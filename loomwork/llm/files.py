@@ -1,45 +1,35 @@
-"""Files of our own formats in the shared folder, opened the same way on every machine."""
+"""Files of our own formats: kept as rows of Spark tables, so that Spark's file systems alone hold them, and put out as files on request."""
 
 from __future__ import annotations
 
-import os
-import uuid
-from typing import BinaryIO
+from collections.abc import Iterator
 
-import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def _resolve(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
+def _folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """A folder by its URI; what Spark's S3 connector calls s3a is s3 here."""
+    scheme, mark, rest = uri.partition("://")
+    if not mark:
+        raise ValueError("a folder is named with its scheme, as file:///data, s3a://bucket/data or hdfs://host/data")
+    return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
 
 
-def put(folder: str, name: str, data: bytes) -> str:
-    """Write one file and return its URI.
+def put_out(table: DataFrame, folder: str, name: str = "name", data: str = "data") -> DataFrame:
+    """Write every row's ``data`` as a file ``name`` below a folder that all workers reach: name, bytes.
 
-    The name holds a fresh id, so a retried or doubled task never meets another's
-    file; readers open only files named in a written manifest.
-    """
-    fs, path = _resolve(folder)
-    fs.create_dir(path, recursive=True)
-    file = f"{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(f"{path}/{file}", compression=None) as out:
-        out.write(data)
-    return f"{folder}/{file}"
+    A task that runs again writes the same bytes to the same names."""
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = _folder(folder)
+        fs.create_dir(path, recursive=True)
+        for batch in batches:
+            for own, raw in zip(batch["name"].to_pylist(), batch["data"], strict=True):
+                with fs.open_output_stream(f"{path}/{own}", compression=None) as out:
+                    out.write(raw.as_py())
+            yield pa.RecordBatch.from_arrays([batch["name"], pa.array([len(x.as_py()) for x in batch["data"]], pa.int64())], ["name", "bytes"])
 
-def read(uri: str) -> bytes:
-    fs, path = _resolve(uri)
-    with fs.open_input_stream(path, compression=None) as f:
-        return f.read()
-
-
-def open_random(uri: str) -> BinaryIO:
-    fs, path = _resolve(uri)
-    return fs.open_input_file(path)
-
-
-def mapped(uri: str) -> np.ndarray:
-    """A file's bytes: mapped where the folder is a mounted one, so that workers share its pages, else read."""
-    fs, path = _resolve(uri)
-    return np.memmap(path, np.uint8, "r") if isinstance(fs, pafs.LocalFileSystem) else np.frombuffer(read(uri), np.uint8)
+    return table.select(F.col(name).alias("name"), F.col(data).alias("data")).mapInArrow(write, "name string, bytes long")

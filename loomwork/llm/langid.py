@@ -13,6 +13,7 @@ mass, discounts) changes neither the best language nor its share, and is left ou
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -25,11 +26,11 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from loomwork.llm import files
 from loomwork.workspace import Workspace
 
 UNKNOWN = "und"
@@ -95,7 +96,7 @@ def pack(languages: list[str], keys: np.ndarray, kinds: np.ndarray, langs: np.nd
 
 
 class Model:
-    """A mapped model file with the scores of recent words, one for each worker."""
+    """A model with the scores of recent words, one for each worker."""
 
     def __init__(self, data: np.ndarray):
         size = int.from_bytes(data[:8].tobytes(), "little")
@@ -184,20 +185,19 @@ class Model:
 _open: dict[str, Model] = {}
 
 
-def open_model(uri: str) -> Model:
-    """The model of a file, kept for the next task of this worker."""
-    if uri not in _open:
+def open_model(name: str, data: Broadcast[bytes]) -> Model:
+    """A model, kept for the next task of this worker."""
+    if name not in _open:
         _open.clear()
-        _open[uri] = Model(files.mapped(uri))
-    return _open[uri]
+        _open[name] = Model(np.frombuffer(data.value, np.uint8))
+    return _open[name]
 
 
-def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> str:
+def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> bytes:
     """Learn from doc_id, text and lang of the rows where both text and lang are not null.
 
-    Returns the model file's URI.  The driver sees one row a language; words and
-    n-grams are counted in tasks, and one task, whose rows the bounded sample
-    bounds, writes the file.
+    Returns the packed model, whose size the bounded sample bounds.  The driver sees it
+    and one row a language; words and n-grams are counted in tasks, and one task packs them.
     """
     work = Workspace(docs.sparkSession, "langid")
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "lang")
@@ -228,27 +228,26 @@ def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> str:
                     if found:
                         yield pd.DataFrame({"key": entry_keys(list(found), k), "k": k, "lang": lang, "n": list(found.values())})
 
-    folder = work.at("model")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [[c.to_numpy(np.int64) for _, c in frame.items()] for frame in frames]
         keys, kinds, langs, n = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
-        yield pd.DataFrame({"uri": [files.put(folder, "model", pack(languages, keys, kinds, langs, n, plan))]})
+        yield pd.DataFrame({"model": [pack(languages, keys, kinds, langs, n, plan)]})
 
     words = sample.select("text", "lang").mapInPandas(count, "lang int, word string, n long")
     words = work.save(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     entries = words.mapInPandas(split, "key long, k int, lang int, n long").groupBy("key", "k", "lang").agg(F.sum("n").alias("n"))
     entries = work.save(entries, "entries")
-    made = entries.select("key", "k", "lang", "n").repartition(1).sortWithinPartitions("key", "lang").mapInPandas(write, "uri string")
-    row = work.save(made, "manifest").first()
+    made = entries.select("key", "k", "lang", "n").repartition(1).sortWithinPartitions("key", "lang").mapInPandas(write, "model binary")
+    row = work.save(made, "model").first()
     work.drop("words", "entries")
     if row is None:  # nothing to learn from, so no task ran
         none = np.zeros(0, np.int64)
-        return files.put(folder, "model", pack(languages, none, none, none, none, plan))
-    return row["uri"]
+        return pack(languages, none, none, none, none, plan)
+    return bytes(row["model"])
 
 
-def predict(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: bytes, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry``, lang_pred and score of every whole text; only text is looked at.
 
     One row per input row.  A null text, or one without a letter, is ``und`` with
@@ -258,9 +257,10 @@ def predict(docs: DataFrame, model: str, carry: tuple[str, ...] = ("doc_id",)) -
     """
 
     hidden = max(carry, key=len) + "_"
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), hashlib.sha256(model).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = open_model(model)
+        own = open_model(name, shared)
         for batch in batches:
             found = list(own.texts(batch[hidden].to_pylist()))
             columns = [*(batch[c] for c in carry), pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.float64())]

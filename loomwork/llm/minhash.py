@@ -242,10 +242,10 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     )
     # equal sets are one class; only its smallest document goes on
     classes = work.save(
-        feats.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes"
+        feats.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")), "classes"
     )
     reps = work.save(
-        feats.join(classes, (feats["fp"] == classes["fp"]) & (feats["doc_id"] == classes["rep"]))
+        feats.join(classes.drop("c"), (feats["fp"] == classes["fp"]) & (feats["doc_id"] == classes["rep"]))
         .groupBy("doc_id")  # a repeated row, or an id with two texts, stays one node for each set
         .agg(F.collect_set(F.struct("n", "sig", "keys")).alias("sets"))
         .select(F.col("doc_id").alias("id"), F.explode("sets").alias("s"))
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     # an id that repeats with other texts is one document: it links their classes
     own = feats.where("fp IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "fp")
     several = own.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
-    joined = own.join(several, "doc_id", "left_semi").join(classes, "fp").where("doc_id <> rep")
+    joined = own.join(several, "doc_id", "left_semi").join(classes.drop("c"), "fp").where("doc_id <> rep")
     joined = work.save(joined.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "joined")
     members = reps.select("id", F.explode("keys").alias("key")).distinct()
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("a")).where("c > 1")
@@ -314,10 +314,14 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     comp = components(known, work, "all")
     work.drop("sets", "open0", "units", "likely", "reps", "buckets")
     roots = comp.select(F.col("node").alias("rep"), "root")
-    named = classes.join(roots, "rep", "left").select(
-        F.col("fp").alias("f"), F.coalesce("root", "rep").alias("root")
-    )
-    out = feats.select("doc_id", "n", "fp").join(named, F.col("fp") == F.col("f"), "left")
+    named = classes.join(roots, "rep", "left").select("fp", "c", F.coalesce("root", "rep").alias("root"))
+    # texts of many copies are fewer than _HOT, so their list is broadcast; texts without words and rows without an id are named by none
+    rows = feats.select("doc_id", "n", "fp")
+    copies = classes.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    hot = F.broadcast(named.where(F.col("c") * _HOT > copies).drop("c"))
+    known = rows.where("fp IS NOT NULL AND doc_id IS NOT NULL")
+    out = known.join(hot, "fp").unionByName(known.join(hot.select("fp"), "fp", "left_anti").join(named.drop("c"), "fp"))
+    out = out.unionByName(rows.where("fp IS NULL OR doc_id IS NULL").withColumn("root", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -13,6 +13,7 @@ one frame.  Documents with a null doc_id come first.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import os
 import re
@@ -21,6 +22,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm import files
 from loomwork.llm.zdict import build_dictionary, load_dictionary
 from loomwork.workspace import Workspace
 
@@ -178,17 +179,17 @@ class ShardWriter:
 class ShardReader:
     """Random access to one shard's documents."""
 
-    def __init__(self, uri: str, dictionary: bytes):
-        self.file = files.open_random(uri)
+    def __init__(self, file: BinaryIO, dictionary: bytes):
+        self.file = file
         self.file.seek(0, 2)
         end = self.file.tell()
         self.file.seek(end - FOOTER.size)
         at, self.n, self.tokens, self.width, magic = FOOTER.unpack(self.file.read(FOOTER.size))
         if magic != MAGIC:
-            raise ValueError(f"{uri} is not a token shard")
+            raise ValueError("not a token shard")
         self.file.seek(0)
         if self.file.read(len(MAGIC) + 32) != MAGIC + hashlib.sha256(dictionary).digest():
-            raise ValueError(f"{uri} was written with another dictionary")
+            raise ValueError("a shard was written with another dictionary")
         self.file.seek(at)
         self.index = self.file.read(self.n * INDEX.size)
         self.zstd = zstandard.ZstdDecompressor(dict_data=load_dictionary(dictionary))
@@ -213,11 +214,12 @@ def write_token_shards(
     sample_bytes: int = 8 << 10,
     level: int = 3,
     most_parts: int = 20_000,
-) -> tuple[DataFrame, bytes]:
+) -> tuple[DataFrame, DataFrame, bytes]:
     """Encode whole texts and write their ids, ascending by doc_id, in token shards.
 
-    Input: doc_id long and text (null: empty).  Output: the manifest (uri, tokens,
-    docs, base: ids before the shard) and the shared dictionary.  The dictionary
+    Input: doc_id long and text (null: empty).  Output: the shards (name, data, tokens,
+    docs), rows of a written table, of which ``files.put_out`` makes files; their places
+    (name, base: ids before the shard); and the shared dictionary.  The dictionary
     learns from about ``sample_rows`` rows drawn by a hash of the row, a window of at
     most ``sample_bytes`` of each, at a place drawn likewise: a bounded sample.
 
@@ -245,14 +247,12 @@ def write_token_shards(
     drawn = drawn.select("doc_id", "u", F.substring("ids", place, F.lit(sample_bytes)).alias("part"))
     sample = [bytes(r.part) for r in sorted(drawn.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.u))]
     dictionary = build_dictionary(sample, dictionary_bytes, 256)
-    folder = work.at("shards")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, writer, seq = TaskContext.get().partitionId(), None, 0
 
         def close() -> pa.RecordBatch:
-            uri = files.put(folder, f"part-{own:07d}-{seq:05d}", writer.data())
-            return pa.RecordBatch.from_pydict({"uri": [uri], "part": [own], "seq": [seq], "tokens": [writer.tokens], "docs": [len(writer.index)]})
+            return pa.RecordBatch.from_pydict({"name": [f"part-{own:07d}-{seq:05d}.ids"], "data": [writer.data()], "part": [own], "seq": [seq], "tokens": [writer.tokens], "docs": [len(writer.index)]})
 
         for batch in batches:
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), batch["ids"], strict=True):
@@ -267,7 +267,7 @@ def write_token_shards(
     parts = min(most_parts, max(1, -(-total // shard_bytes)))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("u")]
     dealt = coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-    manifest = work.save(dealt.mapInArrow(write, "uri string, part long, seq long, tokens long, docs long"), "manifest")
+    manifest = work.save(dealt.mapInArrow(write, "name string, data binary, part long, seq long, tokens long, docs long"), "shards")
     work.drop("ids")
     sums, before, starts = sorted(map(tuple, manifest.groupBy("part").agg(F.sum("tokens")).collect())), 0, []
     for part, tokens in sums:  # a row a range, ``most_parts`` at most
@@ -275,26 +275,28 @@ def write_token_shards(
         before += tokens
     base = spark.createDataFrame(starts, "part long, start long")
     prior = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    within = manifest.withColumn("within", F.coalesce(F.sum("tokens").over(prior), F.lit(0)))
-    return within.join(base, "part").select("uri", "tokens", "docs", (F.col("start") + F.col("within")).alias("base")), dictionary
+    within = manifest.select("name", "part", F.coalesce(F.sum("tokens").over(prior), F.lit(0)).alias("within"))
+    bases = within.join(base, "part").select("name", (F.col("start") + F.col("within")).alias("base"))
+    return manifest.select("name", "data", "tokens", "docs"), bases, dictionary
 
 
-def read_token_shards(manifest: DataFrame, dictionary: bytes) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files themselves."""
+def read_token_shards(shards: DataFrame, bases: DataFrame, dictionary: bytes) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the shards themselves."""
 
-    def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for uri, base in zip(frame["uri"].to_pylist(), frame["base"].to_pylist(), strict=True):
-                shard = ShardReader(uri, dictionary)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch["name"].to_pylist(), batch["data"], strict=True):
+                shard = ShardReader(io.BytesIO(data.as_py()), dictionary)
                 rows = []
                 for i in range(shard.n):
                     doc_id, start, ids = shard[i]
-                    rows.append((doc_id, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    rows.append((name, doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                kinds = (pa.string(), *[pa.int64()] * 4)
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["name", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("uri", "base").repartition(max(1, min(manifest.count(), 10_000)))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = shards.select("name", "data").mapInArrow(read, "name string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return found.join(bases, "name").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def word_token_file(docs: DataFrame, tokenizer_file: bytes, end_id: int = 1) -> DataFrame:

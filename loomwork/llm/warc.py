@@ -15,11 +15,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm import files
 from loomwork.llm.zdict import build_dictionary, load_dictionary
 from loomwork.workspace import Workspace
 
@@ -117,7 +118,8 @@ def write_archives(
     dictionary_bytes: int = 64 << 10,
     level: int = 3,
 ) -> DataFrame:
-    """Write a record per row and return the manifest (uri, records).
+    """Write a record per row and return the archives (name, data, records), rows of a
+    written table; ``files.put_out`` makes files of them.
 
     Input: page_id, url, html.  Rows with equal payloads (by SHA-256) of at least
     ``min_revisit_bytes``: that with the smallest page_id is the response, the
@@ -146,13 +148,12 @@ def write_archives(
     marked = marked.join(cold, F.col("key") == F.col("cold"), "left").withColumn("first", F.coalesce("hot_first", "cold_first"))
     marked = marked.select("page_id", "url", "payload", "first", F.expr("first IS NOT NULL AND NOT page_id <=> first").alias("revisit"))
     parts = max(1, -(-(total + 512 * count) // (4 * archive_bytes)))
-    folder = work.at("archives")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, size = [], 0
+        own, size, part, seq = [], 0, TaskContext.get().partitionId(), 0
 
         def close() -> pd.DataFrame:
-            return pd.DataFrame({"uri": [files.put(folder, "archive", archive(own, dictionary_bytes, level))], "records": [len(own)]})
+            return pd.DataFrame({"name": [f"part-{part:07d}-{seq:05d}.warc.zst"], "data": [archive(own, dictionary_bytes, level)], "records": [len(own)]})
 
         for frame in frames:
             for page, url, payload, first, revisit in frame.itertuples(index=False):
@@ -161,7 +162,7 @@ def write_archives(
                 size += len(own[-1])
                 if size >= archive_bytes:
                     yield close()
-                    own, size = [], 0
+                    own, size, seq = [], 0, seq + 1
         if own:
             yield close()
 
@@ -170,32 +171,27 @@ def write_archives(
     dealt = dealt.select(
         F.col("page_id").cast("string").alias("page_text"), "url", "payload", F.col("first").cast("string").alias("first_text"), "revisit"
     )
-    return work.save(dealt.mapInPandas(write, "uri string, records long"), "manifest")
+    return work.save(dealt.mapInPandas(write, "name string, data binary, records long"), "archives")
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for uri in frame["uri"]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch["name"].to_pylist(), batch["data"], strict=True):
                 rows = []
-                for data in records_of(files.read(uri)):
+                for data in records_of(raw.as_py()):
                     fields, body = parse(data)
                     kind, sha1 = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and digest(body) != sha1:
-                        raise ValueError(f"{uri}: a payload differs from its digest")
+                        raise ValueError(f"{name}: a payload differs from its digest")
                     first = page_of(fields["warc-refers-to"]) if kind == "revisit" else None
                     rows.append((page_of(fields["warc-record-id"]), int(fields["x-payload-length"]), sha1, kind, first))
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield out.assign(
-                    page_id=pd.array([r[0] for r in rows], "Int64"), refers_to=pd.array([r[4] for r in rows], "Int64")
-                )
-
-    spread = manifest.select("uri").repartition(max(1, min(manifest.count(), 10_000)))
-    return spread.mapInPandas(
-        read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    )
+                kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
+    return archives.select("name", "data").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_archive(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:

@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.llm import files, langid, minhash, oracles, queries, sharding, warc
+from loomwork.llm import files, langid, minhash, oracles, queries, sharding, tokenbin, warc
+from loomwork import workspace
 from loomwork.workspace import Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -136,7 +137,7 @@ def test_op2_archives_always_hold_a_dictionary(spark, tmp_path):
         manifest = warc.write_archives(df, Workspace(spark, "t")).collect()
         assert sum(r.records for r in manifest) == df.count()
         for r in manifest:
-            data = files.read(r.uri)
+            data = bytes(r.data)
             magic, n = struct.unpack_from("<II", data)
             assert magic == warc.SKIPPABLE and n > 0 and len(list(warc.records_of(data))) == r.records
     same = [(i, f"u{i}", "hot" if i % 3 else f"page {i % 40}") for i in range(900)]
@@ -147,6 +148,54 @@ def test_op2_archives_always_hold_a_dictionary(spark, tmp_path):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.OP2})").fetchall()))
 
 
+def test_archives_and_shards_are_put_out_as_files(spark, sf, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    archives = warc.write_archives(pages, Workspace(spark, "t"), archive_bytes=1 << 16)
+    told = files.put_out(archives, f"file://{tmp_path}/warc").collect()
+    assert len(told) > 1 and sum(len(list(warc.records_of((tmp_path / "warc" / r.name).read_bytes()))) for r in told) == pages.count()
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet").select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text")
+    file = queries.vocabulary("word_bpe_49k.json")
+    shards, bases, dictionary = tokenbin.write_token_shards(docs, lambda width: tokenbin.worker_encoder(file, width), 1, 49_408, Workspace(spark, "t"), shard_bytes=1 << 14)
+    told = files.put_out(shards, f"file://{tmp_path}/ids").collect()
+    assert len(told) > 1 and bases.count() == len(told)
+    found = 0
+    for r in told:
+        with (tmp_path / "ids" / r.name).open("rb") as f:
+            shard = tokenbin.ShardReader(f, dictionary)
+            found += sum(shard[i][2][-1] == 1 for i in range(shard.n))
+    assert found == docs.count()
+    with pytest.raises(ValueError, match="scheme"):
+        files._folder("/data")
+
+
+def test_side_files_lie_where_only_spark_reads(spark, sf, tmp_path, monkeypatch):
+    """A checkpoint folder in a file system of Spark's alone: no worker opens a path by itself."""
+    conf = spark._jsc.hadoopConfiguration()
+    (tmp_path / "far").mkdir()
+    conf.set("fs.viewfs.mounttable.away.link./far", f"file://{tmp_path}/far")
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(40)
+    run = lambda: [
+        sorted(map(str, df.collect()))
+        for df in (warc.warc_archive(pages), tokenbin.word_token_file(docs, queries.vocabulary("word_bpe_49k.json")), langid.predict(docs, langid.fit(docs)))
+    ]
+    near = run()
+    monkeypatch.setattr(workspace, "shared_root", lambda spark: "viewfs://away/far")
+    assert run() == near and any((tmp_path / "far").iterdir())
+
+
+def test_byte_bpe_of_another_pattern_joins_words(spark):
+    import tiktoken
+    from loomwork.llm import bpe
+
+    ranks_file = queries.vocabulary("byte_bpe_multi_50k.tiktoken")
+    pattern = r"\p{L}+ \p{L}+|\s|\S+"
+    library = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=bpe.load_ranks(ranks_file), special_tokens={})
+    texts = ["two words joined by a space here", " the of and to", "x", "", "one\ntwo three  four"]
+    got = bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranks_file, pattern, keep_ids=True)
+    assert {r.doc_id: r.ids for r in got.collect()} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_op6_equals_sql(spark, tmp_path):
     hard = "<|im_end|>\n<|im_start|>user\\n </s>[INST] \\ <<SYS>> é"
     rows = [(c, t, ("system", "user", "assistant")[(c + t) % 3], f"{hard} {c} {t}" if (c + t) % 4 else None) for c in range(40) for t in range(1 + c % 9)]
