@@ -51,8 +51,10 @@ _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same split of lower-cased text of plain characters: printable ASCII and the
 #: letters up to U+00FF, which are composed and have one lower-case character each.
-_SPLIT_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: A line's end stands between pieces, which hold none.
+_SPLIT_PLAIN = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
 _PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")  # without <, which begins added tokens
+_ALL_PLAIN = re.compile("[\n!-;=-~À-ÖØ-öø-ÿ]+")
 
 
 class WordEncoder:
@@ -91,60 +93,58 @@ class WordEncoder:
         self.as_bytes = {ord(c): self.library.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters if not c.isascii()}
         self.code = "H" if width == 2 else "I"
         self.words: dict[str, bytes] = {}
-        self.pieces = _Pieces(self._piece)
+        self.pieces, self.room = {"": b""}, _MEMO_BYTES
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(g.ids, self.kind).tobytes() for g in got]
 
-    def _word(self, word: str) -> bytes:
-        if (known := self.words.get(word)) is not None:
-            return known
-        tokens = self.ask_word(word if word.isascii() else word.translate(self.as_bytes))
-        ids = self._bytes([t.id for t in tokens])
-        if len(word) <= _LONG:
-            self.words[word] = ids
-            self.pieces.room -= _ENTRY + 3 * len(word)
-        return ids
-
     def _bytes(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
         if sys.byteorder == "big":
             packed.byteswap()
         return packed.tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if not _PLAIN.fullmatch(piece):
-            return self._whole([piece])[0]
-        own = _SPLIT_PLAIN.findall(piece.lower())
-        return self._word(own[0]) if len(own) == 1 else b"".join(map(self._word, own))
+    def _learn(self, pieces: list[str]) -> None:
+        """Keep the ids of new pieces: the plain ones are cut into words all at once, the others go to the library."""
+        joined = "\n".join(pieces)
+        if not _ALL_PLAIN.fullmatch(joined):
+            odd = [p for p in pieces if not _PLAIN.fullmatch(p)]
+            self.pieces.update(zip(odd, self._whole(odd), strict=True))
+            self.room -= sum(map(len, odd)) * 3 + _ENTRY * len(odd)
+            pieces = [p for p in pieces if _PLAIN.fullmatch(p)]
+            joined = "\n".join(pieces)
+        if not pieces:
+            return
+        split, words, ask = _SPLIT_PLAIN.findall(joined.lower()), self.words, self.ask_word
+        new = [w for w in set(split) if w not in words]
+        for word in new:
+            words[word] = self._bytes([t.id for t in ask(word if word.isascii() else word.translate(self.as_bytes))]) if word != "\n" else b""
+        coded = list(map(words.__getitem__, split))
+        at = 0
+        for piece, end in zip(pieces, [*(i for i, w in enumerate(split) if w == "\n"), len(split)], strict=True):
+            self.pieces[piece] = coded[at] if end - at == 1 else b"".join(coded[at:end])
+            at = end + 1
+        self.room -= 3 * (len(joined) + sum(map(len, new))) + _ENTRY * (len(pieces) + len(new))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [i for at in range(0, len(texts), 64) for i in self._whole(texts[at : at + 64])]
         out = []
-        for text in texts:
-            if self.pieces.room < 0:
-                self.words, self.pieces = {}, _Pieces(self._piece)
-            pieces = self._gap.split(text) if self._odd.search(text) else text.split()
-            out.append(b"".join(map(self.pieces.__getitem__, pieces)))
+        for at in range(0, len(texts), 64):
+            split = [self._gap.split(t) if self._odd.search(t) else t.split() for t in texts[at : at + 64]]
+            if self.room < 0:
+                self.words, self.pieces, self.room = {}, {"": b""}, _MEMO_BYTES
+            pieces = self.pieces
+            new = [p for p in set().union(*split) if p not in pieces]
+            self._learn(new)
+            out += [b"".join(map(pieces.__getitem__, own)) for own in split]
+            for p in new:
+                if len(p) > _LONG:
+                    del pieces[p]
         return out
 
 
-class _Pieces(dict):
-    """Ids of pieces, asked for when first met; long pieces are not kept."""
-
-    def __init__(self, ask: Callable[[str], bytes]):
-        self.ask, self.room = ask, _MEMO_BYTES
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.ask(piece)
-        if len(piece) <= _LONG:
-            self[piece] = ids
-            self.room -= _ENTRY + 3 * len(piece)
-        return ids
-
-
 _encoders: dict[tuple, WordEncoder] = {}
 
 
