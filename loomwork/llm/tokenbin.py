@@ -38,7 +38,7 @@ MAGIC = b"LWTOK2\0\0"
 INDEX = struct.Struct("<q?QIQI")
 FOOTER = struct.Struct("<QQQI8s")
 #: Bytes of text pieces and words whose ids a worker keeps at hand, about.
-_MEMO_BYTES = 96 << 20
+_MEMO_BYTES = 160 << 20
 _ENTRY = 200
 #: Longer pieces are not kept.
 _LONG = 64
