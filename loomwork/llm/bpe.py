@@ -21,9 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.kept import kept
+
 _MASK = (1 << 64) - 1
 #: Bytes of pieces of text and of pre-tokens whose ids a worker keeps at hand, each, about.
-_MEMO_BYTES = 64 << 20
+_MEMO_BYTES = 40 << 20
 _ENTRY = 200
 #: Longer pieces and pre-tokens are not kept.
 _LONG = 64
@@ -205,10 +207,6 @@ class ByteBpe:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-#: This worker's coder, kept for its next task.
-_coders: dict[tuple[str, str], ByteBpe] = {}
-
-
 def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, keep_ids: bool = False) -> DataFrame:
     """Encode whole texts and decode them again.
 
@@ -226,10 +224,7 @@ def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, keep_ids:
     name = hashlib.sha256(ranks_file).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (name, pattern) not in _coders:
-            _coders.clear()
-            _coders[name, pattern] = ByteBpe(shared.value[0], pattern, shared.value[1])
-        bpe = _coders[name, pattern]
+        bpe = kept(("bytes", name, pattern), lambda: ByteBpe(shared.value[0], pattern, shared.value[1]))
         for batch in batches:
             coded = bpe.encode_batch([t or "" for t in batch["text"].to_pylist()])
             columns = [

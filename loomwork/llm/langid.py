@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from loomwork.llm.kept import kept
 from loomwork.workspace import Workspace
 
 UNKNOWN = "und"
@@ -182,15 +183,9 @@ class Model:
             yield from map(self.score, counted)
 
 
-_open: dict[str, Model] = {}
-
-
 def open_model(name: str, data: Broadcast[bytes]) -> Model:
     """A model, kept for the next task of this worker."""
-    if name not in _open:
-        _open.clear()
-        _open[name] = Model(np.frombuffer(data.value, np.uint8))
-    return _open[name]
+    return kept(("langid", name), lambda: Model(np.frombuffer(data.value, np.uint8)))
 
 
 def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> bytes:

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.llm.kept import kept
 from loomwork.llm.zdict import build_dictionary, load_dictionary
 from loomwork.workspace import Workspace
 
@@ -145,16 +146,9 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[tuple, WordEncoder] = {}
-
-
 def worker_encoder(file: bytes, width: int) -> WordEncoder:
     """This worker's encoder, kept for its next task."""
-    key = (hashlib.sha256(file).digest(), width)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(file, width)
-    return _encoders[key]
+    return kept(("words", hashlib.sha256(file).digest(), width), lambda: WordEncoder(file, width))
 
 
 class ShardWriter:
