@@ -17,3 +17,10 @@ def kept(key: Hashable, make: Callable[[], T]) -> T:
         gc.collect()
         _held[key] = make()
     return _held[key]  # type: ignore[return-value]
+
+
+def let_go() -> None:
+    """Free what is held, before a task that needs its room."""
+    if _held:
+        _held.clear()
+        gc.collect()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from loomwork.llm.kept import kept
+from loomwork.llm.kept import kept, let_go
 from loomwork.workspace import Workspace
 
 UNKNOWN = "und"
@@ -203,6 +203,7 @@ def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> bytes:
     sample = labelled.join(F.broadcast(seen) if len(languages) <= 10_000 else seen, "lang").where(draw < plan.sample_rows / F.col("rows"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for frame in frames:
             for lang, own in frame.groupby("lang")["text"]:
                 found: Counter[str] = Counter()
@@ -212,6 +213,7 @@ def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> bytes:
                     yield pd.DataFrame({"lang": at[lang], "word": list(found), "n": list(found.values())})
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for frame in frames:
             for lang, own in frame.groupby("lang"):
                 words = own["word"].tolist()

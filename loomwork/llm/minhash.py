@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.llm.kept import let_go
 from loomwork.workspace import Workspace
 
 #: More buckets than this cannot each hold as large a share of all memberships.
@@ -225,6 +226,7 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     work = Workspace(docs.sparkSession, "neardup")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = _WordHash()
         for batch in batches:
             rows = []
@@ -266,6 +268,7 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup()) -> DataFrame:
     wanted = open_.select("id").distinct()
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         known = _WordHash()
         for frame in frames:
             yield pd.DataFrame(
