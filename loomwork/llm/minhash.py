@@ -60,7 +60,7 @@ class NearDup:
 class _WordHash(dict):
     """64-bit hashes of words, remembered up to a bound in bytes; long words are not."""
 
-    room = 64 << 20
+    room = 48 << 20
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
