@@ -54,7 +54,8 @@ def reply_paths(messages: DataFrame, work: Workspace, top: int = 1) -> DataFrame
     Input: id (unique long), parent (long or null), score (double).  Output: path
     (its leaf's id), place (from 1 at the root), id.  A branch scores the sum of its
     messages; ties go to the smaller leaf.  A parent that is no message makes its
-    child a root; messages on a cycle have no root and are on no path.
+    child a root; messages on a cycle have no root and are on no path.  A round writes
+    only the messages that had not met their root before it.
     """
     told = messages.select("id", "parent", F.col("score").cast("double").alias("total"))
     ids = told.select(F.col("id").alias("known"))
@@ -63,13 +64,14 @@ def reply_paths(messages: DataFrame, work: Workspace, top: int = 1) -> DataFrame
     roots = told.where("parent IS NULL").select(*first(none, F.col("id")))
     others = told.where("parent IS NOT NULL").join(ids, F.col("parent") == F.col("known"), "left")
     now = work.save(roots.unionByName(others.select(*first(F.col("known"), F.coalesce("known", "id")))), "jump0")
+    met = now.where("up IS NULL")
     parents = now.where("up IS NOT NULL").select(F.col("up").alias("p"))
     leaves = now.join(parents, now["id"] == parents["p"], "left_anti").select(F.col("id").alias("leaf"))
     leaves = work.save(leaves, "leaves")
-    rounds, left = 0, now.where("up IS NOT NULL").count()
-    limit = max(1, now.count()).bit_length() + 1
+    left = now.where("up IS NOT NULL").count()
+    rounds, limit = 0, left.bit_length() + 1
     while left and rounds < limit:
-        other = now.select(
+        other = met.unionByName(now.where("up IS NOT NULL")).select(
             F.col("id").alias("i"), F.col("up").alias("u"), F.col("depth").alias("d"), F.col("total").alias("t"), F.col("root").alias("r")
         )
         rounds += 1
@@ -78,12 +80,11 @@ def reply_paths(messages: DataFrame, work: Workspace, top: int = 1) -> DataFrame
             "id", F.col("u").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total"),
             F.col("r").alias("root"),
         )
-        now = work.save(now.where("up IS NULL").unionByName(going), f"jump{rounds}")
-        left = now.where("up IS NOT NULL").count()
+        now = work.save(going, f"jump{rounds}")
+        met, left = met.unionByName(now.where("up IS NULL")), now.where("up IS NOT NULL").count()
     best = Window.partitionBy("root").orderBy(F.desc("total"), "id")
     chosen = (
-        now.where("up IS NULL")
-        .join(leaves, F.col("id") == F.col("leaf"), "left_semi")
+        met.join(leaves, F.col("id") == F.col("leaf"), "left_semi")
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= top)
     )
@@ -108,14 +109,11 @@ def chain_parents(rows: DataFrame, conv: str, order: list[str], work: Workspace)
     dealt = work.save(
         rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("id", F.monotonically_increasing_id()), "messages"
     )
-    lasts = dealt.groupBy(F.shiftright("id", 33).alias("p")).agg(F.max("id")).orderBy("p").collect()
-    before = {p: last for (p, _), (_, last) in zip(lasts[1:], lasts[:-1], strict=True)}
-    back = F.lit(None).cast("long")
-    if before:
-        back = F.try_element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.shiftright("id", 33))
-    lean = dealt.select("id", F.col(conv).alias("c"))
-    prior = F.when(F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) > 0, F.col("id") - 1).otherwise(back)
-    lean = lean.withColumn("prior", prior)
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    lasts = dealt.groupBy(part.alias("p")).agg(F.max("id").alias("last"))  # a row a partition
+    back = lasts.select(F.col("p").alias("bp"), F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("p")).alias("back"))
+    lean = dealt.select("id", F.col(conv).alias("c"), part.alias("p")).join(F.broadcast(back), F.col("p") == F.col("bp"))
+    lean = lean.select("id", "c", F.when(place > 0, F.col("id") - 1).otherwise(F.col("back")).alias("prior"))
     other = lean.select(F.col("id").alias("o"), F.col("c").alias("oc"))
     links = lean.join(other, (F.col("prior") == F.col("o")) & F.col("c").eqNullSafe(F.col("oc")), "left")
     return dealt.join(links.select("id", F.col("o").alias("parent")), "id")

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from loomwork.llm.kept import kept, let_go
+from loomwork.llm.text import free_names
 from loomwork.workspace import Workspace
 
 UNKNOWN = "und"
@@ -247,24 +248,27 @@ def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan()) -> bytes:
 def predict(docs: DataFrame, model: bytes, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry``, lang_pred and score of every whole text; only text is looked at.
 
-    One row per input row.  A null text, or one without a letter, is ``und`` with
+    One row per input row; a carried column named lang_pred or score ends in ``_``
+    (``free_names``).  A null text, or one without a letter, is ``und`` with
     score 0; so is every text if nothing could be learned.  Ties go to the
     language that sorts first.  Repeated rows and null ids are rows like any other.
     An empty table gives an empty result.
     """
 
-    hidden = max(carry, key=len) + "_"
+    result = ("lang_pred", "score")
+    names = free_names(carry, result)
+    hidden = free_names(("text",), (*result, *names))[0]
     shared, name = docs.sparkSession.sparkContext.broadcast(model), hashlib.sha256(model).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = open_model(name, shared)
         for batch in batches:
             found = list(own.texts(batch[hidden].to_pylist()))
-            columns = [*(batch[c] for c in carry), pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*carry, "lang_pred", "score"])
+            columns = [*(batch[c] for c in names), pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *result])
 
-    held = docs.select(*(F.col(f"`{c}`") for c in carry), F.col("text").alias(hidden))
-    schema = StructType([*(held.schema[c] for c in carry), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    held = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)), F.col("text").alias(hidden))
+    schema = StructType([*(held.schema[n] for n in names), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return held.mapInArrow(run, schema)
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.text import words
+from loomwork.llm.text import free_names, words
 from loomwork.workspace import Workspace
 
 CLASSES = ("lower", "upper", "digit", "space", "point")
@@ -175,13 +175,19 @@ def references(docs: DataFrame, rules: QualityRules, work: Workspace) -> DataFra
     return work.save(made.withColumnRenamed("lang", "r_lang").coalesce(1), "references")
 
 
+_RESULT = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance",
+)
+
+
 def distribution_quality(docs: DataFrame, rules: QualityRules = QualityRules(), carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Counts, distances and verdict of every document.
 
     Input: text, lang and the columns ``carry``; others are ignored.  Output, one row
     per input row: the columns ``carry`` (doc_id), n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), base_failed, kept (boolean), char_distance,
-    word_distance (double; null where not judged).  A null text counts as
+    word_distance (double; null where not judged).  A carried column named as one of
+    these ends in ``_`` (``free_names``).  A null text counts as
     empty: no words, so base_failed.  A null lang, or a language without a
     reference, is not judged by divergence.  Repeated rows give repeated rows;
     an empty table gives an empty result.  Windows are compared by 64-bit
@@ -194,7 +200,7 @@ def distribution_quality(docs: DataFrame, rules: QualityRules = QualityRules(),
     """
     work = Workspace(docs.sparkSession, "quality")
     refs = references(docs, rules, work)
-    df = _repeats(_with_counts(docs, F.struct(*(F.col(f"`{c}`") for c in carry))), rules.window)
+    df = _repeats(_with_counts(docs, F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, free_names(carry, _RESULT), strict=True)))), rules.window)
     df = df.withColumn(
         "n_symbols", F.col("n_chars") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))
     ).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t-\r]")))

@@ -14,5 +14,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
+def free_names(carry: tuple[str, ...], taken: tuple[str, ...]) -> list[str]:
+    """Names of carried columns in a result that has the columns ``taken``: their own, with
+    ``_`` added as often as it takes where that is a result's or an earlier one's, in any case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in carry:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")

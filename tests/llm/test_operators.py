@@ -208,6 +208,53 @@ def test_reply_tree(spark):
         assert paths == expected
 
 
+def _paths(messages, spark, top):
+    from loomwork.workspace import Workspace
+
+    paths = {}
+    for r in sorted(chat.reply_paths(messages, Workspace(spark, "t"), top).collect(), key=lambda r: (r.path, r.place)):
+        assert r.place == len(paths.setdefault(r.path, [])) + 1
+        paths[r.path].append(r.id)
+    return paths
+
+
+@pytest.mark.parametrize("top", (1, 3))
+def test_random_reply_forest_equals_a_walk(spark, top):
+    rng = np.random.default_rng(11)
+    rows = {}
+    for i in range(300):  # few scores, so branches tie; some parents are no message
+        parent = None if i < 4 else -1 - i if rng.random() < 0.02 else int(rng.integers(max(0, i - 25), i))
+        rows[i] = (parent, float(rng.integers(0, 3)))
+    rows |= {1000 + i: (1000 + (i + 1) % 5, 1.0) for i in range(5)} | {2000: (1002, 9.0)}  # a cycle and a message that replies to it
+    walks = {}
+    for leaf in rows.keys() - {p for p, _ in rows.values()}:
+        path, at = [], leaf
+        while at in rows and at not in path:
+            path.append(at)
+            at = rows[at][0]
+        if at not in path:
+            walks.setdefault(path[-1], []).append((-sum(rows[i][1] for i in path), leaf, path[::-1]))
+    expected = {leaf: path for own in walks.values() for _, leaf, path in sorted(own)[:top]}
+    messages = spark.createDataFrame([(i, p, s) for i, (p, s) in rows.items()], "id long, parent long, score double")
+    assert _paths(messages, spark, top) == expected
+
+
+def test_one_root_of_very_many_leaves(spark):
+    n = F.lit(200_000)
+    messages = spark.range(1, 200_001).select("id", F.lit(0).cast("long").alias("parent"), (F.col("id") * 7919 % n).cast("double").alias("score"))
+    messages = messages.unionByName(spark.createDataFrame([(0, None, 1.0)], "id long, parent long, score double"))
+    best = sorted(range(1, 200_001), key=lambda i: (-(i * 7919 % 200_000), i))[:3]
+    assert _paths(messages, spark, 3) == {i: [0, i] for i in best}
+
+
+def test_carried_columns_named_as_results(spark, docs):
+    odd = docs.limit(5).selectExpr("doc_id", "text", "lang", "7 AS Score", "8 AS kept", "9 AS text_")
+    told = langid.predict(odd, langid.fit(docs), carry=("doc_id", "Score", "text", "text_")).collect()
+    assert {(r["Score_"], r["text_"], 0 <= r["score"] <= 1) for r in told} == {(7, 9, True)} and len(told) == 5
+    judged = quality.distribution_quality(odd, carry=("doc_id", "kept", "text_"))
+    assert judged.columns[:3] == ["doc_id", "kept_", "text_"] and {r["kept_"] for r in judged.collect()} == {8}
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
