@@ -149,6 +149,26 @@ def brute(rows):
     return root
 
 
+@pytest.mark.parametrize("shape", ("random", "chain", "none"))
+def test_components_equal_union_find(spark, shape):
+    from loomwork.workspace import Workspace
+
+    rng = np.random.default_rng(2)
+    links = {"random": rng.integers(0, 300, (220, 2)).tolist(), "chain": [[i, i + 1] for i in range(120)], "none": []}[shape]
+    root = list(range(300))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = minhash.components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "c"), "x").collect()
+    assert sorted(map(tuple, got)) == [(i, find(i)) for i in range(300) if find(i) != i]
+
+
 def test_language_id(docs, empty, spark):
     model = langid.fit(docs)
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
