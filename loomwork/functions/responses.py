@@ -98,8 +98,8 @@ def most_repeats(text: Column, n: int = 3) -> Column:
     return F.transform(F.array(words), top)[0]
 
 
-def mentions(lower: Column, gold: Column, share: float = 0.4) -> Column:
-    """Whether a lower-cased explanation speaks of the gold answer."""
+def mentions(lower: Column, gold: Column, share: float = 0.4, stop_words: bool = True) -> Column:
+    """Whether a lower-cased explanation speaks of the gold answer; ``stop_words``: whether a short one without content words is met by its words."""
     g = F.lower(F.trim(gold))
     has = lambda words: reduce(Column.__or__, (lower.contains(w) for w in words))
     parts = F.transform(F.split(gold, ","), lambda p: F.lower(F.trim(p)))
@@ -108,7 +108,7 @@ def mentions(lower: Column, gold: Column, share: float = 0.4) -> Column:
     words = content_words(gold)
     shared = F.size(F.array_intersect(words, content_words(lower)))
     tokens = F.regexp_extract_all(g, F.lit("[a-z0-9]+"), 0)
-    short = (F.length(g) <= 30) & (F.size(tokens) > 0) & (F.size(words) == 0)
+    short = F.lit(stop_words) & (F.length(g) <= 30) & (F.size(tokens) > 0) & (F.size(words) == 0)
     loose = (
         lower.contains(g)
         | F.replace(lower, F.lit(" "), F.lit("")).contains(F.replace(g, F.lit(" "), F.lit("")))
@@ -121,7 +121,7 @@ def mentions(lower: Column, gold: Column, share: float = 0.4) -> Column:
     return out.when((F.length(g) <= 3) & g.rlike(r"(?U)^[\p{L}\p{N}]+$"), whole(g)).otherwise(loose)
 
 
-def gate_reason(explanation: Column, gold: Column, least: int = 200, most: int = 6000, repeats: int = 6) -> Column:
+def gate_reason(explanation: Column, gold: Column, least: int = 200, most: int = 6000, repeats: int = 6, stop_words: bool = True) -> Column:
     """Why an explanation is rejected, by the first rule that fails; null if none does."""
     has = lambda text, words: reduce(Column.__or__, (text.contains(w) for w in words))
 
@@ -134,7 +134,7 @@ def gate_reason(explanation: Column, gold: Column, least: int = 200, most: int =
             .when(t.rlike(r"""',\s*'|",\s*\""""), "list_format_separator")
             .when(has(lower, REFUSALS), "refusal")
             .when(has(t, BAD), "bad_pattern")
-            .when(~mentions(lower, F.coalesce(gold, F.lit(""))), "no_gold_mention")
+            .when(~mentions(lower, F.coalesce(gold, F.lit("")), stop_words=stop_words), "no_gold_mention")
             .when(top > repeats, F.concat(F.lit("repetitive(reps="), top.cast("string"), F.lit(")")))
         )
 
