@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
+from loomwork import plans
 from loomwork.plans import catalog
 
+plans.load_all()
 SF = "/root/testdata/sf0.1"
 
 
@@ -31,3 +33,11 @@ def pairs(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["token_f1", "content_word_overlap", "quality_gate_reasons"])
 def test_pairs_as_stated(spark, pairs, name, every):
     assert len(same(spark, pairs, name + every)) == 400
+
+
+def test_every_equal_pair(spark, tmp_path):
+    texts = ["One text", "one  text", "another", "ONE TEXT", "alone"]
+    docs = [(i, t, "src0" if i < 2 else "src1") for i, t in enumerate([*texts, *texts])]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, "another"), (4, "none like it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert len(same(spark, tmp_path, "exact_overlap")) == 2 * 4 + 2
