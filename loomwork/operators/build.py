@@ -6,6 +6,7 @@ Draws are by MD5 of seed and keys, so that every SQL engine draws the same.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,20 +118,15 @@ def shuffled(options: Column, key: Column, seed: int) -> Column:
 
 def weighted_counts(n: Column, key: Column, seed: int, most: int = 2, weights: dict[int, float] = fixed.EXPAND_WEIGHTS) -> Column:
     """Up to ``most`` distinct option counts above n, drawn by weight in three tries for each."""
-    ks = F.filter(F.array(*map(F.lit, weights)), lambda k: k > n)
-    pairs = F.create_map(*(F.lit(x) for kw in weights.items() for x in kw))
-    total = F.aggregate(ks, F.lit(0.0), lambda s, k: s + F.element_at(pairs, k))
-
-    def draw(i: Column) -> Column:
-        goal = unit(F.lit(seed), key, i) * total
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("k"))
-        step = lambda s, k: F.struct(
-            (s["sum"] + F.element_at(pairs, k)).alias("sum"), F.coalesce(s["k"], F.when(goal < s["sum"] + F.element_at(pairs, k), k)).alias("k")
-        )
-        return F.aggregate(ks, start, step, lambda s: s["k"])
-
-    tries = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3 * most - 1)), draw), lambda k: k.isNotNull())
-    return F.slice(F.array_distinct(tries), 1, most)
+    ks = sorted(weights)
+    upto = [list(itertools.accumulate(weights[k] for k in ks[i:])) for i in range(len(ks) + 1)]  # by how many counts are too low
+    low = F.size(F.filter(F.array(*map(F.lit, ks)), lambda k: k <= n))
+    sums = F.get(F.array(*(F.array(*map(F.lit, s)).cast("array<double>") for s in upto)), low)
+    total = F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0.0))
+    goals = F.transform(F.sequence(F.lit(0), F.lit(3 * most - 1)), lambda i: unit(F.lit(seed), key, i) * total)
+    # a try takes the first count whose sum of weights is above its goal
+    tries = F.transform(goals, lambda goal: F.get(F.array(*map(F.lit, ks)), low + F.size(F.filter(sums, lambda s: s <= goal))))
+    return F.slice(F.array_distinct(F.filter(tries, lambda k: k.isNotNull())), 1, most)
 
 
 def quota_plan(available: dict[tuple[str, bool], int], total: int, quotas: dict[str, float], augmented_share: float) -> tuple[dict[tuple[str, bool], int], int]:
@@ -229,7 +225,8 @@ def trivia_options(questions: DataFrame, seed: int, need: int = 3, window: int =
     types; a question goes round its own type's from a hashed place on, then round the rest.
     An answer that is an alias, holds the gold or is held by it is passed over.  Questions
     meet a window of numbers at first; those left short meet one four times as wide, until
-    it is the whole list.  A question that stays short has fewer places."""
+    it is the whole list.  A question that stays short has fewer places.  Questions are dealt
+    out before they meet anything, so no task holds more of what is met than it can sort."""
     folded = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
     kind = text.option_type(F.col("gold")).alias("type")
     pool = questions.select(kind, folded(F.col("gold")).alias("low"), "gold").groupBy("type", "low").agg(F.min("gold").alias("option"))
@@ -243,21 +240,25 @@ def trivia_options(questions: DataFrame, seed: int, need: int = 3, window: int =
     aliases = F.concat(F.transform("aliases", folded), F.array(folded(F.col("gold"))))
     q = questions.select("qid", kind, folded(F.col("gold")).alias("g"), aliases.alias("aliases"))
     both = F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.col("type").alias("list")), F.struct(F.lit(1).alias("tier"), F.lit("").alias("list"))))
-    asked = q.select("*", both.alias("t")).select("qid", "type", "g", "aliases", "t.*").join(sizes, "list")
+    own = sizes.select(F.col("list").alias("type"), F.col("size").alias("of_type"))
+    asked = q.join(own, "type").select("*", both.alias("t")).select("qid", "type", "of_type", "g", "aliases", "t.*").join(sizes, "list")
     asked = work.save(asked.withColumn("start", offset(F.col("size"), F.lit(seed), F.col("qid"), F.col("tier"))), "asked")
     largest = sizes.agg(F.max("size")).first()[0] or 0
     done, todo, step = None, asked, 0
     while True:
+        # a question's rows stay in one task from here on, about a million that it meets in each
+        parts = -(-todo.count() * min(window, max(largest, 1)) // (1 << 20))
+        todo = todo.repartition(max(parts, int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "qid")
         span = F.explode(F.expr(f"sequence(0L, cast(least({window}, size) - 1 AS bigint))"))
         met = todo.select("*", span.alias("step")).withColumn("at", (F.col("start") + F.col("step")) % F.col("size") + 1)
         met = met.join(lists.select("list", "at", F.col("type").alias("kind"), "low", "option"), ["list", "at"])
         good = met.where(~F.array_contains("aliases", F.col("low")) & ~F.col("g").contains(F.col("low")) & ~F.col("low").contains(F.col("g")))
         good = good.where((F.col("tier") == 0) | (F.col("kind") != F.col("type")))
-        first = good.groupBy("qid", "low").agg(F.min(F.struct("tier", "step", "option")).alias("x"))
+        first = good.groupBy("qid", "low").agg(F.min(F.struct("tier", "step", "option")).alias("x"), F.any_value("of_type").alias("of_type"))
         placed = first.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("x"))).where(F.col("place") <= need)
-        # a pick of the second tier counts only where the first was seen whole
-        whole = F.expr(f"bool_or(x.tier = 1) AND {window} < {largest}")
-        placed = work.save(placed.select("qid", "place", "x"), f"round{step}")
+        # a pick of the second tier counts only where the first, the list of the question's type, was seen whole
+        whole = F.expr(f"bool_or(x.tier = 1 AND {window} < of_type)")
+        placed = work.save(placed.select("qid", "place", "x", "of_type"), f"round{step}")
         per = placed.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), whole.alias("early"))
         full = per.where((F.col("n") == need) & ~F.col("early")).select("qid")
         last = window >= largest

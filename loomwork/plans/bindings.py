@@ -35,6 +35,14 @@ def mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def option_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid and n_options of ``mcq``; no line is carried but for its name."""
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.struct("p_name").alias("name"))
+    names = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey")
+    per = names.groupBy("l_orderkey").agg(F.size(F.collect_set("name")).alias("n_options"))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")).join(per, "l_orderkey").select(F.col("l_orderkey").alias("qid"), "n_options")
+
+
 MCQ_SQL = """
 ln AS (SELECT l.*, p_name FROM lineitem l JOIN part ON p_partkey = l_partkey),
 opt AS (

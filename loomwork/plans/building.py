@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import fixed, text
 from loomwork.operators import build, rows
-from loomwork.plans.bindings import MCQ_SQL, load, mcq
+from loomwork.plans.bindings import MCQ_SQL, load, mcq, option_counts
 from loomwork.plans.catalog import query
 
 _T = r"regexp_replace({0}, '^[ \t-\r]+|[ \t-\r]+$', '', 'g')"
@@ -127,7 +127,7 @@ d AS (SELECT qid, i, min(k) AS k FROM c WHERE u * total < upto GROUP BY qid, i),
 SELECT qid, n_options::INT AS k, false AS is_augmented FROM mcq UNION ALL SELECT qid, k::INT, true FROM f""")
 def emit_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question, then up to two variants with more options, whose counts are drawn by weight."""
-    q = mcq(spark, sf_dir).select("qid", "n_options")
+    q = option_counts(spark, sf_dir)
     ks = build.weighted_counts(F.col("n_options"), F.col("qid"), 4)
     rows_ = F.concat(F.array(F.struct(F.col("n_options").alias("k"), F.lit(False).alias("is_augmented"))), F.transform(ks, lambda k: F.struct(k.alias("k"), F.lit(True).alias("is_augmented"))))
     return q.select("qid", F.explode(rows_).alias("r")).select("qid", "r.*")

@@ -1,11 +1,17 @@
 """Draws of options and choice counts: whole lists, even chances, exact plans."""
 
 import collections
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork import plans as registered
 from loomwork.operators import build
+from loomwork.plans import catalog
+from loomwork.workspace import Workspace
+
+registered.load_all()
 
 
 def test_step_primes_are_prime_and_reach_every_place():
@@ -77,3 +83,37 @@ def test_rebalance_takes_rows_once(spark, group):
         distinct = 1 + r.idx % 21
         assert len(r.kept) == r.target - 1 and len(r.kept) + len(r.ignored) == distinct
     assert build.rebalance(df.limit(0), "lang", 3).count() == 0
+
+
+def test_draws_by_weight_equal_a_walk(spark):
+    weights, seed = {3: 0.1, 5: 0.25, 8: 0.4, 12: 0.25}, 4
+    got = spark.range(300).select("id", (F.col("id") % 14).cast("int").alias("n")).select("id", "n", build.weighted_counts(F.col("n"), F.col("id"), seed, weights=weights).alias("ks")).collect()
+    for r in got:
+        left, found = {k: w for k, w in weights.items() if k > r.n}, []
+        for i in range(6):
+            goal, upto = int(hashlib.md5(f"{seed}|{r.id}|{i}".encode()).hexdigest()[:8], 16) / 2**32 * sum(left.values()), 0.0
+            for k, w in left.items():
+                upto += w
+                if goal < upto:
+                    found += [k] * (k not in found)
+                    break
+        assert r.ks == found[:2]
+
+
+def test_variants_carry_no_lines(spark):
+    plan = catalog.QUERIES["emit_variants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" in plan
+
+
+def test_trivia_questions_are_dealt_before_they_meet(spark, monkeypatch):
+    plans, save = {}, Workspace.save
+
+    def seen(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, name)
+
+    monkeypatch.setattr(Workspace, "save", seen)
+    questions = spark.range(6000).selectExpr("id AS qid", "concat('answer ', id % 20 + 100) AS gold", "array('x') AS aliases").coalesce(1)
+    assert build.trivia_options(questions, 1).count() == 18_000
+    met = plans["round0"].index("Generate")
+    assert "Exchange hashpartitioning(qid" in plans["round0"][met:] and "Exchange hashpartitioning(qid" not in plans["round0"][:met]
