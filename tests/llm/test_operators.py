@@ -294,3 +294,17 @@ def test_ann(spark):
         assert all(s == pytest.approx(d[v]) for _, v, s in own)
     assert hit >= 0.9 * 10 * len(found)
     assert ann.nearest_neighbours(df.limit(0)).count() == 0
+
+
+def test_graph_of_tight_clusters_and_shards_that_grow():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20, 64))[rng.integers(0, 20, 4096)] + 0.1 * rng.normal(size=(4096, 64))
+    graph, q = ann.build(x, ann.GraphPlan()), x[::16]
+    found = graph.search(q, 128)[0][:, :10]
+    d = ((x[None] - q[:, None]) ** 2).sum(2)
+    assert np.mean([len(set(f) & set(b)) for f, b in zip(found, np.argsort(d, 1)[:, :10])]) >= 9.5  # before: 6.4
+    plan = ann.GraphPlan()
+    assert [plan.shards_of(n) for n in (0, 1, 4096, 4097, 196_608, 786_432)] == [1, 1, 1, 2, 48, 48]
+    for n in (1, 2, 3, 30):
+        ids, _ = ann.build(x[:n], plan).search(x[:2], 128)
+        assert all(sorted(i[i >= 0]) == list(range(n)) for i in ids)
