@@ -20,13 +20,9 @@ from loomwork.llm.text import free_names, words
 from loomwork.workspace import Workspace
 
 CLASSES = ("lower", "upper", "digit", "space", "point")
-_CLASS_COMPLEMENT = {
-    "lower": r"[^\p{Ll}]+",
-    "upper": r"[^\p{Lu}]+",
-    "digit": r"[^\p{Nd}]+",
-    "space": r"[^ \t-\r]+",
-    "point": r"[^.,;:!?'\"()\-]+",
-}
+#: What is neither a lower-case letter nor white space is little of a text; the other classes are counted in it.
+_COMMON = r"[\p{Ll} \t-\r]+"
+_CLASS_COMPLEMENT = {"upper": r"[^\p{Lu}]+", "digit": r"[^\p{Nd}]+", "point": r"[^.,;:!?'\"()\-]+"}
 _SLOTS = 256
 
 
@@ -66,13 +62,13 @@ def _with_counts(docs: DataFrame, row: Column) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.regexp_replace("text", _COMMON, "").alias("rest"),
     )
-    return df.withColumns(
-        {
-            f"c_{name}": F.length(F.regexp_replace("text", rest, "")).cast("long")
-            for name, rest in _CLASS_COMPLEMENT.items()
-        }
-    ).withColumn("n_chars", F.length("text").cast("long"))
+    counts = {f"c_{name}": F.length(F.regexp_replace("rest", others, "")).cast("long") for name, others in _CLASS_COMPLEMENT.items()}
+    counts["c_space"] = F.col("n_chars") - F.col("word_chars")  # words are runs of all else
+    counts["c_lower"] = F.col("word_chars") - F.length("rest")
+    return df.withColumns(counts)
 
 
 def _repeats(df: DataFrame, k: int) -> DataFrame:
@@ -143,7 +139,7 @@ def references(docs: DataFrame, rules: QualityRules, work: Workspace) -> DataFra
         .withColumn("rank", F.rank().over(order))
         .where(F.col("rank") <= rules.common_words)
     )
-    sums = sums.where(F.col("r_words") >= rules.min_reference_words)
+    sums = work.save(sums.where(F.col("r_words") >= rules.min_reference_words).coalesce(1), "sums")  # a row a language, read twice
     top = top.join(sums.select("lang", "r_words"), "lang").where(
         F.col("n") * 1000 >= F.col("r_words") * rules.min_share_per_mille
     )
@@ -202,7 +198,7 @@ def distribution_quality(docs: DataFrame, rules: QualityRules = QualityRules(),
     refs = references(docs, rules, work)
     df = _repeats(_with_counts(docs, F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, free_names(carry, _RESULT), strict=True)))), rules.window)
     df = df.withColumn(
-        "n_symbols", F.col("n_chars") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))
+        "n_symbols", F.length(F.regexp_replace("rest", r"[^#*$%&|<>]+", ""))
     ).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t-\r]")))
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     df = df.select(

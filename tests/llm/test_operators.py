@@ -308,3 +308,17 @@ def test_graph_of_tight_clusters_and_shards_that_grow():
     for n in (1, 2, 3, 30):
         ids, _ = ann.build(x[:n], plan).search(x[:2], 128)
         assert all(sorted(i[i >= 0]) == list(range(n)) for i in ids)
+
+
+def test_character_classes_in_one_pass(spark):
+    import unicodedata
+
+    texts = ["", None, " \t\n\x0b\x0c\r", "Ab 12, (x)! é É ½ ٣ ª ǅ 😀\x1c\x85 #$%&|<>*", "ÀÉ\n\nß—你好 a.b-c;'\"?:", "a" * 300 + " B" * 200]
+    df = quality._with_counts(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"), F.col("doc_id"))
+    for r in df.collect():
+        t = texts[r.row] or ""
+        of = lambda kind: sum(unicodedata.category(c) == kind for c in t)  # noqa: E731, B023
+        assert (r.c_lower, r.c_upper, r.c_digit) == (of("Ll"), of("Lu"), of("Nd"))
+        assert (r.c_space, r.c_point, r.n_chars) == (sum(c in " \t\n\x0b\x0c\r" for c in t), sum(c in ".,;:!?'\"()-" for c in t), len(t))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(text") == 1  # before: five
