@@ -10,7 +10,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 from loomwork.llm.kept import kept
 
 _MASK = (1 << 64) - 1
-#: Bytes of pieces of text and of pre-tokens whose ids a worker keeps at hand, each, about.
+#: Bytes of pieces of text, and of pre-tokens, whose ids a worker keeps at hand, about.
 _MEMO_BYTES = 40 << 20
+_TOKEN_BYTES = 120 << 20
 _ENTRY = 200
 #: Longer pieces and pre-tokens are not kept.
 _LONG = 64
@@ -120,11 +124,10 @@ def merge(token: bytes, single: list[int], pairs: dict[int, int]) -> list[int]:
     bits, join = n.bit_length(), pairs.get
     low = (1 << bits) - 1
     ids = [single[b] for b in token]
+    heap = [r << bits | i for i, (a, b) in enumerate(itertools.pairwise(ids)) if (r := join(a << 20 | b)) is not None]
+    if not heap:
+        return ids
     prev, follow = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = []
-    for i in range(n - 1):
-        if (r := join(ids[i] << 20 | ids[i + 1])) is not None:
-            heap.append(r << bits | i)
     heapq.heapify(heap)
     pop, push = heapq.heappop, heapq.heappush
     while heap:
@@ -145,6 +148,14 @@ def merge(token: bytes, single: list[int], pairs: dict[int, int]) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class ByteBpe:
     """Encoder and decoder over ranks, one for each worker."""
 
@@ -158,23 +169,24 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         if pattern != public_tokenizers.PATTERN:  # another may join what stands on both sides of a cut
             self._cut = None
-        self.vocabulary = [b""] * (max(ranks.values()) + 1)
+        vocabulary = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
-            self.vocabulary[i] = token
+            vocabulary[i] = token
+        self.vocabulary = pa.array(vocabulary, pa.large_binary())
         self.memo: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
         self.memo_bytes = self.token_bytes = 0
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces; pre-tokens of ordinary length are kept."""
-        if self.token_bytes > _MEMO_BYTES:
+        if self.token_bytes > _TOKEN_BYTES:
             self.tokens, self.token_bytes = {}, 0
         split = [self.split(p) for p in pieces]
         known = self.tokens
         distinct = list({t for own in split for t in own if t not in known})
         coded = [t.encode() for t in distinct]
         for t, b, i in zip(distinct, coded, self.table.find(coded), strict=True):
-            known[t] = i.to_bytes(4, "little") if i >= 0 else np.array(merge(b, self.single, self.pairs), "<u4").tobytes()
+            known[t] = i.to_bytes(4, "little") if i >= 0 else _packed(merge(b, self.single, self.pairs))
         self.token_bytes += sum(map(len, coded)) * 2 + _ENTRY * len(distinct)
         out = {piece: b"".join([known[t] for t in own]) for piece, own in zip(pieces, split, strict=True)}
         for t in distinct:
@@ -203,8 +215,11 @@ class ByteBpe:
                     del memo[p]
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes) -> memoryview:
+        """Bytes of the ids' tokens: taken one after another, they lie so in memory."""
+        taken = self.vocabulary.take(pa.array(np.frombuffer(ids, "<u4")))
+        ends, data = np.frombuffer(taken.buffers()[1], np.int64), taken.buffers()[2]
+        return memoryview(data or b"")[ends[taken.offset] : ends[taken.offset + len(taken)]]
 
 
 def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, keep_ids: bool = False) -> DataFrame:

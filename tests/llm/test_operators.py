@@ -322,3 +322,15 @@ def test_character_classes_in_one_pass(spark):
         assert (r.c_space, r.c_point, r.n_chars) == (sum(c in " \t\n\x0b\x0c\r" for c in t), sum(c in ".,;:!?'\"()-" for c in t), len(t))
     plan = df._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace(text") == 1  # before: five
+
+
+def test_pre_tokens_outlast_pieces(monkeypatch):
+    ranks = bpe.load_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    coder = bpe.ByteBpe(ranks, public_tokenizers.PATTERN, bpe.PerfectHash(ranks))
+    texts, merges, merge = [f"qzx{chr(97 + i % 26)}wv{chr(97 + i // 26)}jk, {i}" for i in range(600)], [], bpe.merge
+    monkeypatch.setattr(bpe, "_MEMO_BYTES", 1 << 10)
+    monkeypatch.setattr(bpe, "merge", lambda token, *a: (merges.append(token), merge(token, *a))[1])
+    first = coder.encode_batch(texts)
+    assert merges and [bytes(coder.decode(i)).decode() for i in first] == texts and bytes(coder.decode(b"")) == b""
+    merges.clear()
+    assert coder.encode_batch(texts) == first and not merges  # before: they were forgotten with the pieces
