@@ -97,8 +97,8 @@ def tokenizer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
-    kept, _ = gates.token_gate(d, tokens.token_count(F.col("text"), definition), [F.col("doc_id")], 4096, budget=500_000)
+    d = load(spark, sf_dir, "documents").select("doc_id", tokens.token_count(F.col("text"), definition).alias("n"))  # no text is dealt or written
+    kept, _ = gates.token_gate(d, F.col("n"), [F.col("doc_id")], 4096, budget=500_000)
     return kept.select("doc_id", "tokens", "place", "upto")
 
 

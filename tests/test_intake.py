@@ -7,9 +7,11 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.functions.tokens import Counter as Counter_
 from loomwork.functions.tokens import token_count
 from loomwork.operators import assembly, gates, quantiles, rows, scoring
 from loomwork.sources import files, loaders
@@ -270,3 +272,18 @@ def test_recipe_takes_each_key_once(spark):
     got = sorted((r.part, r.uid, r.doc_id) for r in rows.recipe([("p", one, 2), ("q", two, 9)], "uid", "lang", block, 1, "doc_id").collect())
     assert [g for g in got if g[0] == "q"] == [("q", "d", 11)]
     assert len(got) == 3 and ("p", "b", 3) in got and got[0][1:] in (("a", 0), ("b", 3))
+
+
+def test_equal_pieces_are_counted_once():
+    from tokenizers import Tokenizer
+
+    definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+    library, counter = Tokenizer.from_str(definition), Counter_(definition)
+    library.encode_special_tokens = True
+    parts = ["", " ", "  ", "\n", "\x1c", "\x85", "　", "᠎", "​", "é", "é", "don't", "'s", "_x", "12", "½", "<|endoftext|>", "你好", "😀", "a" * 90]
+    texts = [a + s + b + " " + a for a in parts for b in parts for s in ("", " ", "  ", " \n ")]
+    assert counter.cuts and counter(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    asked, ask = [], counter._ask
+    counter._ask = lambda pieces: asked.extend(pieces) or ask(pieces)
+    counter([" one two"] * 50 + [" two one"])
+    assert sorted(asked) == ["", " one", " two"] or sorted(asked) == [" one", " two"]  # before: every text whole
