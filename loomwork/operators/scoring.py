@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import answers
+from loomwork.workspace import Workspace
 
 
 def compliance(box: Column, text: Column) -> dict[str, Column]:
@@ -115,7 +116,8 @@ def score_file(items: DataFrame, method: str, at: str = "index") -> tuple[DataFr
         F.any_value("prompt").alias("prompt"), F.any_value("reference").alias("reference"), F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"),
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "extracted", "correct"))), lambda x: F.struct(x["extracted"].alias("extracted"), x["correct"].alias("correct"))).alias("completions"),
     )
-    details = per.join(F.broadcast(held)).where("_ok IS NULL").drop("_ok")
+    held.collect()  # one row; raises before anything is graded
+    details = Workspace(items.sparkSession, "graded").save(per, "details")  # graded once, for the details and the metrics
     rate = lambda k: F.avg(F.when(F.col("n") >= k, answers.pass_at_k(F.col("n"), F.col("c"), k)))
     metrics = details.agg(
         F.lit(method).alias("benchmark_method"), F.count(F.lit(1)).alias("n_problems"), F.max("n").alias("n_completions"), rate(1).alias("pass_1"), rate(8).alias("pass_8")

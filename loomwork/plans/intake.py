@@ -119,7 +119,8 @@ def scored_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = g.select("o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("prompt"), F.when(even, F.col("r")).alias("reference"), F.when(even, "other").otherwise(F.col("r")).alias("answer"), "completions")
     _sorted_lines(g, "o_orderkey", work.at("generations"))
     items = files.jsonl_numbered(spark, work.at("generations"), "prompt string, reference string, answer string, completions array<string>")
-    details, metrics = scoring.score_file(items.withColumn("index", F.col("row_no") - 1), "boxed")
+    items = work.save(items.select((F.col("row_no") - 1).alias("index"), "prompt", "reference", "answer", "completions"), "items")  # lines are parsed once
+    details, metrics = scoring.score_file(items, "boxed")
     shown = F.array_join(F.transform("completions", lambda x: F.concat(F.coalesce(x["extracted"], F.lit("-")), F.lit(":"), x["correct"].cast("string"))), " ")
     out = details.crossJoin(F.broadcast(metrics.select("n_problems", F.round("pass_1", 6).alias("pass_1"))))  # one row
     return out.select("index", F.md5("prompt").alias("prompt"), "reference", "n", "c", F.md5(shown).alias("details"), "n_problems", "pass_1")

@@ -287,3 +287,9 @@ def test_equal_pieces_are_counted_once():
     counter._ask = lambda pieces: asked.extend(pieces) or ask(pieces)
     counter([" one two"] * 50 + [" two one"])
     assert sorted(asked) == ["", " one", " two"] or sorted(asked) == [" one", " two"]  # before: every text whole
+
+
+def test_a_file_is_graded_once(spark):
+    details, metrics = scoring.score_file(items(spark, (0, "p", "4", "5", ["\\boxed{4}", "none"])), "boxed")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (details, metrics)]
+    assert not any("regexp" in p for p in plans) and metrics.collect()[0].pass_1 == 0.5  # before: graded for each
