@@ -9,6 +9,7 @@ from loomwork.functions import fixed, text
 from loomwork.operators import build, rows
 from loomwork.plans.bindings import MCQ_SQL, load, mcq, option_counts
 from loomwork.plans.catalog import query
+from loomwork.workspace import Workspace
 
 _T = r"regexp_replace({0}, '^[ \t-\r]+|[ \t-\r]+$', '', 'g')"
 
@@ -91,7 +92,7 @@ _EXPANDED = f"""more AS (SELECT qid, list(option ORDER BY place) AS m FROM extra
 SELECT qid, array_to_string(options, '|') AS options, (list_position(options, gold) - 1)::INT AS gold_idx, len(options)::INT AS k, '_aug_exp' || len(options) AS suffix FROM grown""")
 def expand_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with one to four options more, of the gold's type and length where there are enough."""
-    q = varied(spark, sf_dir)
+    q = Workspace(spark, "varied").save(varied(spark, sf_dir), "questions")  # read by the pool, the asking and the result
     asked = q.withColumn("need", (F.col("qid") % 4 + 1).cast("int"))
     grown = build.expand(asked, build.distractors(asked, build.option_pool(q), 5), 6)
     return grown.withColumn("options", F.array_join("options", "|"))
@@ -102,7 +103,7 @@ asked AS (SELECT * FROM (SELECT *, 11 + floor({_unit_sql("'8'", 'qid')} * 10)::I
 SELECT qid, len(options)::INT AS k, md5(array_to_string(options, '|')) AS options FROM grown""")
 def dev_augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """60 questions of at most ten options, in turn by category, with 11 to 20 options."""
-    q = varied(spark, sf_dir)
+    q = Workspace(spark, "varied").save(varied(spark, sf_dir), "questions")  # read by the pool, the asking and the result
     base = rows.round_robin(q.where("n_options <= 10"), "macro_cat", [rows.hash_order(3, "qid"), F.col("qid")], 60)
     k = 11 + build.offset(F.lit(10), F.lit(8), F.col("qid"))
     asked = base.withColumn("need", (k - F.col("n_options")).cast("int"))

@@ -6,6 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.plans import building
 from loomwork import plans as registered
 from loomwork.operators import build
 from loomwork.plans import catalog
@@ -117,3 +118,8 @@ def test_trivia_questions_are_dealt_before_they_meet(spark, monkeypatch):
     assert build.trivia_options(questions, 1).count() == 18_000
     met = plans["round0"].index("Generate")
     assert "Exchange hashpartitioning(qid" in plans["round0"][met:] and "Exchange hashpartitioning(qid" not in plans["round0"][:met]
+
+
+def test_questions_are_made_once(spark):
+    grown = building.expand_options(spark, "/root/testdata/sf0.001")
+    assert not any("lineitem" in f or "orders" in f for f in grown.inputFiles())  # before: joined for the pool, the asking and the result
