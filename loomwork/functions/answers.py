@@ -11,23 +11,23 @@ from loomwork.functions import equivalence, responses
 def _depths(text: Column) -> Column:
     """1-based end of the braced group that begins ``text``; null if it never closes.
 
-    The text is cut at its closing braces: a cut's depth is what was opened less what was closed."""
-    parts = F.split(text, r"\}", -1)
-    count = lambda p: F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit("")))
+    Most groups hold no other: they end at the first closing brace, before which one is opened.
+    Any other text is cut at its closing braces: a cut's depth is what was opened less what was closed."""
+    opened = lambda p: F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit("")))
+    parts = F.transform(F.split(text, r"\}", -1), lambda p: F.struct(opened(p).alias("opened"), F.length(p).alias("n")))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
-    closed = F.aggregate(
-        F.slice(parts, F.lit(1), F.size(parts) - 1),
+    step = lambda depth, at, end: F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
+    walk = lambda cuts: F.aggregate(
+        F.slice(cuts, F.lit(1), F.size(cuts) - 1),
         start,
         lambda s, p: F.when(s["end"] > 0, s).otherwise(
-            F.struct(
-                (s["depth"] + count(p) - 1).alias("depth"),
-                (s["at"] + F.length(p) + 1).alias("at"),
-                F.when(s["depth"] + count(p) == 1, s["at"] + F.length(p) + 1).otherwise(0).alias("end"),
-            )
+            step(s["depth"] + p["opened"] - 1, s["at"] + p["n"] + 1, F.when(s["depth"] + p["opened"] == 1, s["at"] + p["n"] + 1).otherwise(0))
         ),
-        lambda s: s["end"],
+        lambda s: F.when(s["end"] > 0, s["end"]),
     )
-    return F.when(closed > 0, closed)
+    closed = equivalence.bind(parts, walk)
+    first = F.substring_index(text, "}", 1)
+    return F.when(~text.contains("}"), None).when(opened(first) == 1, F.length(first) + 1).otherwise(closed)
 
 
 def boxed(text: Column) -> Column:
@@ -104,7 +104,8 @@ def correct(extracted: Column, reference: Column, method: str) -> Column:
         letter = F.upper(extracted) == F.upper(F.regexp_replace(reference, r"(?U)^\s+|\s+$", ""))
         right = F.when(is_choice(reference), letter).otherwise(responses.direct_match(extracted, reference))
     else:
-        right = equivalence.is_equivalent(equivalence.final(extracted), equivalence.final(reference))
+        both = F.struct(equivalence.final(extracted).alias("l"), equivalence.final(reference).alias("r"))  # made once, however often compared
+        right = equivalence.bind(both, lambda x: equivalence.is_equivalent(x["l"], x["r"]))
     return extracted.isNotNull() & F.coalesce(right, F.lit(False))
 
 

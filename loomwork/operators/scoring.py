@@ -92,6 +92,20 @@ def binary_reward(predicted: Column, answer: Column) -> Column:
     return F.when(predicted == answer, 1.0).otherwise(0.0)
 
 
+def graded(found: DataFrame, extracted: str, reference: str, method: str) -> DataFrame:
+    """``found`` with ``correct``: whether an extracted answer matches its reference; null matches nothing.
+
+    Normal forms cost far more than a row's way through an exchange, and answers repeat: each pair of
+    an answer and a reference is graded once, spread over as many tasks as a shuffle has, and joined back.
+    ``found`` is read twice, so it should be a written table."""
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, r = F.col(extracted), F.col(reference)
+    pairs = found.where(x.isNotNull() & r.isNotNull()).select(x.alias("_x"), r.alias("_r")).distinct().repartition(n, F.xxhash64("_x", "_r"))
+    right = Workspace(found.sparkSession, "pairs").save(pairs.select("_x", "_r", answers.correct(F.col("_x"), F.col("_r"), method).alias("correct")), "graded")
+    told = found.join(right.where("correct"), (x == F.col("_x")) & (r == F.col("_r")), "left")
+    return told.withColumn("correct", F.coalesce("correct", F.lit(False))).drop("_x", "_r")
+
+
 def score_file(items: DataFrame, method: str, at: str = "index") -> tuple[DataFrame, DataFrame]:
     """(detailed results a row, metrics of one row) of a generation file.
 
@@ -100,24 +114,26 @@ def score_file(items: DataFrame, method: str, at: str = "index") -> tuple[DataFr
     completions, rows with different numbers of them.  Details: ``at``, prompt, reference,
     n, c, completions (extracted, correct).  Metrics: benchmark_method, n_problems,
     n_completions, pass_1 and, from eight completions on, pass_8 (else null)."""
+    work = Workspace(items.sparkSession, "graded")
     gold = F.coalesce(F.col("reference").cast("string"), F.col("answer").cast("string"))
-    n = F.coalesce(F.size("completions"), F.lit(0))
-    sizes = items.agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("low"), F.max(n).alias("high"), F.count_if(gold.isNull()).alias("bare"))
+    own = items.select(at, "prompt", gold.alias("reference"), "completions")
+    found = F.transform("completions", lambda t: answers.extract(t, F.col("reference"), method))
+    rows = work.save(own.select(at, "prompt", "reference", found.alias("found")), "found")  # lines are read and answers extracted once
+    n = F.coalesce(F.size("found"), F.lit(0))
+    sizes = rows.agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("low"), F.max(n).alias("high"), F.count_if(F.col("reference").isNull()).alias("bare"))
     held = sizes.select(  # one row
         F.coalesce(
             F.assert_true(F.col("rows") > 0, "the generation file is empty"), F.assert_true(F.col("bare") == 0, "a row has neither reference nor answer"),
             F.assert_true(F.col("low") > 0, "a row has no completions"), F.assert_true(F.col("low") == F.col("high"), "rows have different numbers of completions"),
         ).alias("_ok")
     )
-    each = items.select(at, "prompt", gold.alias("reference"), F.posexplode("completions").alias("_i", "_t"))
-    each = each.withColumn("extracted", answers.extract(F.col("_t"), F.col("reference"), method))
-    each = each.withColumn("correct", F.coalesce(answers.correct(F.col("extracted"), F.col("reference"), method), F.lit(False)))
+    held.collect()  # one row; raises before anything is graded
+    each = graded(rows.select(at, "prompt", "reference", F.posexplode("found").alias("_i", "extracted")), "extracted", "reference", method)
     per = each.groupBy(at).agg(
         F.any_value("prompt").alias("prompt"), F.any_value("reference").alias("reference"), F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"),
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "extracted", "correct"))), lambda x: F.struct(x["extracted"].alias("extracted"), x["correct"].alias("correct"))).alias("completions"),
     )
-    held.collect()  # one row; raises before anything is graded
-    details = Workspace(items.sparkSession, "graded").save(per, "details")  # graded once, for the details and the metrics
+    details = work.save(per, "details")  # grouped once, for the details and the metrics
     rate = lambda k: F.avg(F.when(F.col("n") >= k, answers.pass_at_k(F.col("n"), F.col("c"), k)))
     metrics = details.agg(
         F.lit(method).alias("benchmark_method"), F.count(F.lit(1)).alias("n_problems"), F.max("n").alias("n_completions"), rate(1).alias("pass_1"), rate(8).alias("pass_8")

@@ -16,16 +16,21 @@ from loomwork.plans.bindings import load
 from loomwork.plans.building import _FORM, _TRIVIA, _shuffle_sql
 from loomwork.plans.catalog import _UID, QUERIES, query
 from loomwork.plans.responses import _COMP, completions
-from loomwork.plans.scoring import _GENERATED, _graded_sql, generated
+from loomwork.plans.scoring import _GENERATED, _graded_sql, responded
 from loomwork.sources import files, loaders
 from loomwork.streaming.ledger import Ledger, Rules, stream_into
 from loomwork.workspace import Workspace
 
 
+def _sorted(df: DataFrame, key: str) -> DataFrame:
+    """Rows in the order of ``key`` over as many partitions as a shuffle has."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, key).sortWithinPartitions(key)
+
+
 def _sorted_lines(df: DataFrame, key: str, path: str) -> None:
     """JSON lines in the order of ``key`` over the files' names."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, key).sortWithinPartitions(key).write.json(path)
+    _sorted(df, key).write.json(path)
 
 
 @query("""WITH p AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
@@ -114,13 +119,13 @@ SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS index, md5('Order ' || o_o
 def scored_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of generations scored: every row's extracted answers and whether they are right, and the file's metrics."""
     work = Workspace(spark, "scored")
-    g = generated(spark, sf_dir).groupBy("o_orderkey").agg(F.any_value("r").alias("r"), F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("completions"))
+    orders = _sorted(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")  # texts are made behind the exchange, once
+    g = responded(orders).withColumnRenamed("texts", "completions")
     even = F.col("o_orderkey") % 2 == 0  # half of the rows have an answer that the reference overrides, half only an answer
     g = g.select("o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("prompt"), F.when(even, F.col("r")).alias("reference"), F.when(even, "other").otherwise(F.col("r")).alias("answer"), "completions")
-    _sorted_lines(g, "o_orderkey", work.at("generations"))
+    g.write.json(work.at("generations"))
     items = files.jsonl_numbered(spark, work.at("generations"), "prompt string, reference string, answer string, completions array<string>")
-    items = work.save(items.select((F.col("row_no") - 1).alias("index"), "prompt", "reference", "answer", "completions"), "items")  # lines are parsed once
-    details, metrics = scoring.score_file(items, "boxed")
+    details, metrics = scoring.score_file(items.withColumn("index", F.col("row_no") - 1), "boxed")
     shown = F.array_join(F.transform("completions", lambda x: F.concat(F.coalesce(x["extracted"], F.lit("-")), F.lit(":"), x["correct"].cast("string"))), " ")
     out = details.crossJoin(F.broadcast(metrics.select("n_problems", F.round("pass_1", 6).alias("pass_1"))))  # one row
     return out.select("index", F.md5("prompt").alias("prompt"), "reference", "n", "c", F.md5(shown).alias("details"), "n_problems", "pass_1")

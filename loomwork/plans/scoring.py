@@ -10,6 +10,7 @@ from loomwork.operators import scoring
 from loomwork.plans.bindings import load
 from loomwork.plans.catalog import query
 from loomwork.plans.responses import _COMP, completions
+from loomwork.workspace import Workspace
 
 
 def quote(s: str) -> str:
@@ -41,13 +42,18 @@ def _form(which: Column) -> Column:
     return out
 
 
-def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answered(orders: DataFrame) -> DataFrame:
     """Each order's answer and reference, in forms and with numbers drawn from its key."""
     k = F.col("o_orderkey")
-    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (k % 7 + 1).alias("v"), (F.floor(k / 7) % 3 + 2).alias("w"))
+    o = orders.select("o_orderkey", "o_orderpriority", (k % 7 + 1).alias("v"), (F.floor(k / 7) % 3 + 2).alias("w"))
     return o.select("o_orderkey", "o_orderpriority", "v", _form(k % _N).alias("l"), _form(F.floor(k / _N) % _N).alias("r"))
 
 
+def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``answered`` of the given orders."""
+    return answered(load(spark, sf_dir, "orders"))
+
+
 _ANSWERS = f"""pr AS (SELECT *, {_form_sql(f'o_orderkey % {_N}')} AS l, {_form_sql(f'(o_orderkey // {_N}) % {_N}')} AS r
  FROM (SELECT o_orderkey, o_orderpriority, o_orderkey % 7 + 1 AS v, (o_orderkey // 7) % 3 + 2 AS w FROM orders))"""
 
@@ -125,14 +131,19 @@ _GENERATED = f"""{_ANSWERS}, gen AS (SELECT o_orderkey, o_orderpriority, r, i, C
 box AS (SELECT *, CASE WHEN {_HAS_BOX.format(t='t')} THEN regexp_replace({_BOX.format(t='t')}, '^\\{{(.*)\\}}$', '\\1') END AS b FROM gen)"""
 
 
-def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four responses to each order's question: the answer boxed, bare, the reference in two pairs of braces, an open box."""
-    p = answer_pairs(spark, sf_dir)
+def responded(orders: DataFrame) -> DataFrame:
+    """Four responses to each order's question in an array: the answer boxed, bare, the reference in two pairs of braces, an open box."""
+    p = answered(orders)
     texts = F.array(
         F.concat(F.lit("so \\boxed{"), "l", F.lit("}")), F.col("l"), F.concat(F.lit("\\boxed{{"), "r", F.lit("}}")),
         F.concat(F.lit("x \\fbox{"), F.col("v").cast("string"), F.lit("} or \\boxed{"), "r"),
     )
-    return p.select("o_orderkey", "o_orderpriority", "r", F.posexplode(texts).alias("i", "t"))
+    return p.select("o_orderkey", "o_orderpriority", "r", texts.alias("texts"))
+
+
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``responded`` of the given orders, a row a response."""
+    return responded(load(spark, sf_dir, "orders")).select("o_orderkey", "o_orderpriority", "r", F.posexplode("texts").alias("i", "t"))
 
 
 def _graded_sql(extracted: str) -> str:
@@ -147,9 +158,9 @@ pairs AS (SELECT id, nf.x AS l, nr.x AS r FROM nf JOIN nr USING (id)), {_equal_s
 SELECT o_orderkey, count(*) AS n, count_if(coalesce(equal, false))::BIGINT AS c, count(b) AS boxed FROM box LEFT JOIN eq ON id = o_orderkey * 4 + i GROUP BY o_orderkey""")
 def score_math_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Right and boxed responses to each question, by mathematical equality."""
-    g = generated(spark, sf_dir).withColumn("x", answers.extract(F.col("t"), F.col("r"), "boxed"))
-    right = answers.correct(F.col("x"), F.col("r"), "boxed")
-    return g.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("c"), F.count("x").alias("boxed"))
+    g = generated(spark, sf_dir).select("o_orderkey", "r", answers.extract(F.col("t"), F.col("r"), "boxed").alias("x"))
+    g = scoring.graded(Workspace(spark, "math").save(g, "found"), "x", "r", "boxed")
+    return g.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"), F.count("x").alias("boxed"))
 
 
 @query(rf"""WITH {_GENERATED}, e AS (SELECT *, {_TRIM.format('t')} AS whole FROM box)

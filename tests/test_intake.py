@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.functions import answers
 from loomwork.functions.tokens import Counter as Counter_
 from loomwork.functions.tokens import token_count
 from loomwork.operators import assembly, gates, quantiles, rows, scoring
@@ -293,3 +294,30 @@ def test_a_file_is_graded_once(spark):
     details, metrics = scoring.score_file(items(spark, (0, "p", "4", "5", ["\\boxed{4}", "none"])), "boxed")
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (details, metrics)]
     assert not any("regexp" in p for p in plans) and metrics.collect()[0].pass_1 == 0.5  # before: graded for each
+
+
+def test_equal_answers_are_graded_once(spark, monkeypatch):
+    written, save = {}, scoring.Workspace.save
+    monkeypatch.setattr(scoring.Workspace, "save", lambda self, df, name: written.setdefault(name, save(self, df, name)))
+    rows_ = [(i, f"p{i}", "4", None, ["\\boxed{4.0}", "so \\boxed{4.0}", "\\boxed{5}", "none", None]) for i in range(30)]
+    rows_.append((30, "q", "5.0", None, ["\\boxed{5}", "\\boxed{x=5}", "\\boxed{4.0}", "\\fbox{5} \\boxed{5", "\\boxed{{5.0}}"]))
+    details, metrics = scoring.score_file(items(spark, *rows_), "boxed")
+    asked = sorted((r._x, r._r, r.correct) for r in written["graded"].collect())  # before: 91 answers graded row by row
+    assert asked == [("4.0", "4", True), ("4.0", "5.0", False), ("5", "4", False), ("5", "5.0", True), ("5.0", "5.0", True), ("x=5", "5.0", True)]
+    got = {r["index"]: r for r in details.collect()}
+    assert all(got[i].c == 2 and [x.correct for x in got[i].completions] == [True, True, False, False, False] for i in range(30))
+    assert got[30].c == 3 and [(x.extracted, x.correct) for x in got[30].completions] == [("5", True), ("x=5", True), ("4.0", False), (None, False), ("5.0", True)]
+    assert metrics.collect()[0].n_problems == 31
+
+
+def test_normal_forms_are_made_once(spark):
+    df = spark.createDataFrame([("x=5", "5.0", True), ("\\frac12", "0.5", True), (None, "5", False), ("6", "5", False)], "x string, r string, want boolean")
+    right = df.select("want", answers.correct(F.col("x"), F.col("r"), "boxed").alias("got"))
+    assert all(r.want == r.got for r in right.collect())
+    assert right._jdf.queryExecution().optimizedPlan().toString().count("finalansweris") <= 6  # three of each side; before: 14, some made again and again
+
+
+def test_boxes_nested_and_open(spark):
+    texts = {"\\boxed{a}": "a", "\\boxed{a{b}c} d}": "a{b}c", "\\boxed{{{a}}}": "{{a}}", "\\boxed{}": "", "\\boxed{a": None, "\\boxed{a{b}": None, "\\boxed a}": None, "\\fbox{é{😀}}}": "é{😀}", "\\boxed": None, "a}": None}
+    got = {r.t: r.b for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", answers.boxed(F.col("t")).alias("b")).collect()}
+    assert got == texts
